@@ -4,27 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dishflow.llm.common import table
+from dishflow.llm.chat_format import digests, format_conversations
+from dishflow.llm.common import shuffle_partitions, table
 from dishflow.llm.exact_dedup import exact_dedup
+from dishflow.llm.mixing import mix
+from dishflow.llm.packing import pack_documents
 from dishflow.llm.simhash_dedup import near_duplicates
+from dishflow.llm.token_files import encode_and_read_back
+from dishflow.llm.topk import integer_weights, top_k
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), integer_weights(F.col("embedding")).alias("w"))
+    return top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With conversation -1, whose texts say what other templates use as control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return digests(format_conversations(turns.unionByName(extra)))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), share=1.5, most=2.0)
+    first = F.array_min(F.transform("uses", lambda u: u["position"]))
+    rows = mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
+    return rows.repartitionByRange(shuffle_partitions(spark), F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_read_back(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0, capacity=2048)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_topk": op2_topk,
+    "op3_chat_format": op3_chat_format,
+    "op4_mixing": op4_mixing,
+    "op5_token_files": op5_token_files,
+    "op7_packing": op7_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op2_topk": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   coalesce(list_sum(list_transform(list_zip(q.w[:least(len(q.w), len(c.w))], c.w[:least(len(q.w), len(c.w))]), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS "rank", vec_id, score
+        FROM s QUALIFY "rank" <= 5""",
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
