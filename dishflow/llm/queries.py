@@ -13,6 +13,7 @@ from dishflow.llm.common import shuffle_partitions, table
 from dishflow.llm.exact_dedup import exact_dedup
 from dishflow.llm.mixing import mix
 from dishflow.llm.packing import pack_documents
+from dishflow.llm.quality import classify
 from dishflow.llm.simhash_dedup import near_duplicates
 from dishflow.llm.token_files import encode_and_read_back
 from dishflow.llm.topk import integer_weights, top_k
@@ -52,6 +53,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0, capacity=2048)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
     "op7_packing": op7_packing,
+    "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
