@@ -121,7 +121,7 @@ def _sums(labelled: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.nda
     return sums
 
 
-def fit(labelled: DataFrame, pooled: float = 0.1, diagonal: float = 0.05, ridge: float = 0.05) -> Model:
+def fit(labelled: DataFrame, pooled: float = 0.05, diagonal: float = 0.02, ridge: float = 0.02) -> Model:
     """labelled: x, y. pooled, diagonal: how far a class covariance shrinks to the common one, and to its diagonal."""
     d = len(FEATURES)
     rows = materialise(labelled.select("x", F.col("y").cast("int").alias("y")))
