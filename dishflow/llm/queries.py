@@ -15,6 +15,8 @@ from dishflow.llm.mixing import mix
 from dishflow.llm.packing import pack_documents
 from dishflow.llm.quality import classify
 from dishflow.llm.simhash_dedup import near_duplicates
+from dishflow.llm.substring_dedup import drop_repeated_passages
+from dishflow.llm.suffix_dedup import drop_repeated_bytes
 from dishflow.llm.token_files import encode_and_read_back
 from dishflow.llm.topk import integer_weights, top_k
 
@@ -49,10 +51,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read_back(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeated_passages(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0, capacity=2048)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeated_bytes(table(spark, sf_dir, "documents"), window=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,7 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
