@@ -166,3 +166,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scored = found.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that the classifier predicts as 1: learned as in classify, no shuffle
+    of texts."""
+    known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")).where(~held_out(F.col("doc_id")))
+    model = fit(document_statistics(docs).join(known, "doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t) for t in text_rows(batch)], float).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.scores(x) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

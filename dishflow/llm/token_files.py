@@ -20,19 +20,19 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dishflow.llm.common import documents, scratch_dir, shuffle_partitions
+from dishflow.llm.common import documents, materialise, scratch_dir, shuffle_partitions
 from dishflow.llm.tokens import encoded
 
 MAGIC = b"DFTOKEN1"
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16384, 112640
 SHARD_ROWS, SHARD_BYTES = 4096, 16_000_000
+BROADCAST_ROWS = 500_000  # shards whose places (16 bytes each) are broadcast; more are joined by shuffle
 
 
 def write_shard(doc_ids: list[int | None], counts: list[int], frames: list[bytes], dictionary: bytes, width: int) -> bytes:
@@ -99,6 +99,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, w
     dictionary = train_dictionary(own, tokenizer, end_id, width)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
+    # ranges of doc_id with about as many rows each; their bounds come from the doc_id column alone
+    parts = shuffle_partitions(spark)
+    cuts = own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
+    bounds = np.array(sorted(set(cuts or [])), np.int64)
+
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3, dict_data=_prepared(dictionary), write_content_size=True)
         rows: list[tuple] = []
@@ -106,7 +111,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, w
 
         def flush() -> pa.RecordBatch:
             ids, counts, frames = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "n_tokens", "frame"])
+            part = [len(bounds) if x is None else int(np.searchsorted(bounds, x)) for x in ids]
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["part", "doc_id", "n_tokens", "frame"])
 
         for doc_id, ids in encoded(batches, tokenizer):
             rows.append((doc_id, len(ids) // 4 + 1, packer.compress(_serial(ids, end_id, width))))
@@ -117,15 +123,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, w
         if rows:
             yield flush()
 
-    parts = shuffle_partitions(spark)
-    cuts = own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
-    bounds = np.array(sorted(set(cuts or [])), np.int64)
-
-    @F.pandas_udf("int")
-    def part(x: pd.Series) -> pd.Series:
-        known = x.notna()
-        return pd.Series(np.where(known, np.searchsorted(bounds, x.where(known, 0).astype("int64"), "left"), len(bounds))).astype("int32")
-
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts, frames, size = [], [], [], 0
         no = TaskContext.get().partitionId() << 32
@@ -146,8 +143,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, w
         if ids:
             yield flush()
 
-    rows = own.mapInArrow(compress, "doc_id long, n_tokens long, frame binary")
-    dealt = rows.withColumn("part", part("doc_id")).repartitionById(len(bounds) + 1, F.col("part")).drop("part")
+    rows = own.mapInArrow(compress, "part int, doc_id long, n_tokens long, frame binary")
+    dealt = rows.repartitionById(len(bounds) + 1, F.col("part")).drop("part")
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "n_tokens", "frame")
     dealt.mapInArrow(assemble, "shard long, n_docs long, n_tokens long, data binary").write.option("compression", "uncompressed").parquet(f"{path}/shards")
 
@@ -157,7 +154,8 @@ def read_token_files(spark, path: str) -> DataFrame:
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
     shards = spark.read.parquet(f"{path}/shards")
     # a row for each few thousand documents: small enough to be numbered in one task at any size
-    begins = shards.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("before"))
+    begins = materialise(shards.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("before")))
+    begins = F.broadcast(begins) if begins.count() <= BROADCAST_ROWS else begins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,12 +12,16 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 
 #: Characters of cached pieces at which a worker starts its cache anew.
-CACHE_CHARS = 8_000_000
+CACHE_CHARS = 10_000_000
+SHORT = 9  # what stays then
 _CUT = re.compile(r"(?<=\S) ")
 _ODD = re.compile(r"\s ")
+_SPACE = re.compile(r"\s")
+_LINES = re.compile(r"\S+(?:\n\S+)+")
 
 
 class Encoder:
@@ -29,30 +33,81 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         made = json.loads(self.tokenizer.to_str())
         before = made["pre_tokenizer"] or {}
-        self.cuttable = made["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.cuttable = made["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and len(line) == 1
+        self.line = line[0]
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
         self.known: dict[str, bytes] = {}  # ids of " " + piece
-        self.heads: dict[str, bytes] = {}  # of a text's first piece
+        self.heads: dict[str, bytes] = {}  # of a piece at the beginning of a text or line
         self.chars = 0
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [pa.array(x.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(x.ids)] if x.ids else b"" for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], lead: str) -> list[bytes]:
+        """Of lead + word each, as parts of long texts: calls word by word cost more than the words. Words have no white
+        space, so exactly their first ids begin with a space; heads go line by line, and a line end has an id of its own."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 2000):
+            text = " " + " ".join(words[i : i + 2000]) if lead else "\n".join(words[i : i + 2000])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            data = ids.tobytes()
+            if lead:
+                cuts = [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), len(data)]
+                out += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            else:
+                ends = [*(4 * np.flatnonzero(ids == self.line)).tolist(), len(data)]
+                out += [data[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
+        return out
+
+    def _learn(self, pieces: set[str], heads: set[str]) -> None:
+        lines, rest = [], []
+        for own, known in ((pieces, self.known), (heads, self.heads)):
+            for p in [p for p in own if _SPACE.search(p)]:
+                own.discard(p)
+                (lines if _LINES.fullmatch(p) else rest).append((known, p))
+        for known, p in lines:  # a line end between words is a token, and the word after it stands as at a text's beginning
+            first, *others = p.split("\n")
+            (pieces if known is self.known else heads).add(first)
+            heads.update(others)
+        for own, known, lead in ((pieces, self.known, " "), (heads, self.heads, "")):
+            words = list(own - known.keys())
+            if "" in words:
+                words.remove("")
+                rest.append((known, ""))
+            known.update(zip(words, self._words(words, lead), strict=True))
+            self.chars += sum(map(len, words)) + 8 * len(words)
+        end = np.uint32(self.line).tobytes()
+        for known, p in lines:
+            first, *others = p.split("\n")
+            known[p] = end.join([known[first], *map(self.heads.__getitem__, others)])
+            self.chars += len(p) + 8
+        for known, lead in ((self.known, " "), (self.heads, "")):
+            own = [p for k, p in rest if k is known]
+            known.update(zip(own, self._whole([lead + p for p in own]), strict=True))
+            self.chars += sum(map(len, own)) + 8 * len(own)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if not self.cuttable:
-            return self._encode(texts)
+            return self._whole(texts)
         cut = [_CUT.split(x) if _ODD.search(x) else x.split(" ") for x in texts]
+        first = []
         for x in cut:
             if x[0] == "" and len(x) > 1:  # the text begins with a space: its first piece takes it
                 x[0:2] = [" " + x[1]]
-        for known, new, lead in ((self.heads, {x[0] for x in cut}, ""), (self.known, {p for x in cut for p in x[1:]}, " ")):
-            new = [p for p in new if p not in known]
-            known.update(zip(new, self._encode([lead + p for p in new]), strict=True))
-            self.chars += sum(map(len, new)) + 8 * len(new)
-        heads, known = self.heads, self.known.__getitem__
-        out = [heads[x[0]] + b"".join(map(known, x[1:])) for x in cut]
-        if self.chars > CACHE_CHARS:
-            self.known, self.heads, self.chars = {}, {}, 0
+            first.append(x.pop(0))
+        pieces = set().union(*cut)
+        self._learn(pieces - self.known.keys(), set(first) - self.heads.keys())
+        near = dict(zip(pieces, map(self.known.__getitem__, pieces), strict=True)).__getitem__  # smaller, so faster
+        out = [self.heads[a] + b"".join(map(near, x)) for a, x in zip(first, cut, strict=True)]
+        if self.chars > CACHE_CHARS:  # short words come back
+            for own in (self.known, self.heads):
+                for p in [p for p in own if len(p) > SHORT]:
+                    del own[p]
+            self.chars = sum(len(p) + 8 for own in (self.known, self.heads) for p in own)
+            if self.chars > CACHE_CHARS // 2:
+                self.known, self.heads, self.chars = {}, {}, 0
         return out
 
 
