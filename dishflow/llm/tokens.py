@@ -14,12 +14,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of cached pieces at which a worker starts its cache anew.
 CACHE_CHARS = 10_000_000
 SHORT = 9  # what stays then
+BATCH_BYTES = 4_000_000
 _CUT = re.compile(r"(?<=\S) ")
-_ODD = re.compile(r"\s ")
+#: RE2: a space that stands first or follows white space (what str.isspace takes for it).
+_ODD = r"(?:^|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]) "
 _SPACE = re.compile(r"\s")
 _LINES = re.compile(r"\S+(?:\n\S+)+")
 
@@ -87,20 +90,7 @@ class Encoder:
             known.update(zip(own, self._whole([lead + p for p in own]), strict=True))
             self.chars += sum(map(len, own)) + 8 * len(own)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if not self.cuttable:
-            return self._whole(texts)
-        cut = [_CUT.split(x) if _ODD.search(x) else x.split(" ") for x in texts]
-        first = []
-        for x in cut:
-            if x[0] == "" and len(x) > 1:  # the text begins with a space: its first piece takes it
-                x[0:2] = [" " + x[1]]
-            first.append(x.pop(0))
-        pieces = set().union(*cut)
-        self._learn(pieces - self.known.keys(), set(first) - self.heads.keys())
-        near = dict(zip(pieces, map(self.known.__getitem__, pieces), strict=True)).__getitem__  # smaller, so faster
-        out = [self.heads[a] + b"".join(map(near, x)) for a, x in zip(first, cut, strict=True)]
+    def _forget(self) -> None:
         if self.chars > CACHE_CHARS:  # short words come back
             for own in (self.known, self.heads):
                 for p in [p for p in own if len(p) > SHORT]:
@@ -108,6 +98,49 @@ class Encoder:
             self.chars = sum(len(p) + 8 for own in (self.known, self.heads) for p in own)
             if self.chars > CACHE_CHARS // 2:
                 self.known, self.heads, self.chars = {}, {}, 0
+
+    def _odd(self, text: str) -> bytes:
+        """Of a text in which spaces follow white space or stand first."""
+        cut = _CUT.split(text)
+        if cut[0] == "" and len(cut) > 1:  # the first piece takes the space
+            cut[0:2] = [" " + cut[1]]
+        self._learn(set(cut[1:]) - self.known.keys(), {cut[0]} - self.heads.keys())
+        return self.heads[cut[0]] + b"".join(map(self.known.__getitem__, cut[1:]))
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        """Of texts that can be cut at every space. Equal pieces are found in Arrow, so only different ones are looked up."""
+        lists = pc.split_pattern(texts, " ")
+        begin = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = lists.flatten().dictionary_encode()
+        pieces, index = flat.dictionary, flat.indices.to_numpy()
+        first = index[begin[:-1]]
+        is_head = np.zeros(len(pieces), bool)
+        is_head[first] = True
+        used = np.zeros(len(pieces), bool)
+        rest = np.ones(len(index), bool)
+        rest[begin[:-1]] = False
+        used[index[rest]] = True
+        own, heads = pieces.filter(pa.array(used)).to_pylist(), pieces.filter(pa.array(is_head)).to_pylist()
+        self._learn(set(own) - self.known.keys(), set(heads) - self.heads.keys())
+        ids = [*map(self.known.__getitem__, own), *map(self.heads.__getitem__, heads)]
+        places = np.where(rest, (np.cumsum(used) - 1)[index], (len(own) + np.cumsum(is_head) - 1)[index])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        data = memoryview(table.take(pa.array(places)).flatten().to_numpy()).cast("B")
+        ends = 4 * np.concatenate([[0], np.cumsum(sizes[places])])[begin]
+        return [bytes(data[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        if not self.cuttable:
+            return self._whole(texts.to_pylist())
+        odd = pc.match_substring_regex(texts, _ODD)
+        out: list[bytes] = [b""] * len(texts)
+        for which, of in ((np.flatnonzero(odd.to_numpy(zero_copy_only=False)), lambda x: map(self._odd, x.to_pylist())), (np.flatnonzero(pc.invert(odd).to_numpy(zero_copy_only=False)), self._plain)):
+            if len(which):
+                for i, ids in zip(which.tolist(), of(texts.take(pa.array(which))), strict=True):
+                    out[i] = ids
+        self._forget()
         return out
 
 
@@ -116,16 +149,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, chars: int = 500_000) -> Iterator[tuple[object, bytes]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, size: int = BATCH_BYTES) -> Iterator[tuple[object, bytes]]:
     """(first column, ids) of each row of (key, text) batches, a few texts at a time."""
     own = encoder(path)
     for batch in batches:
-        keys, texts, size = [], [], 0
-        for key, text in zip(batch.column(0), batch.column(1), strict=True):
-            keys.append(key.as_py())
-            texts.append(text.as_py() or "")
-            size += len(texts[-1])
-            if size > chars:
-                yield from zip(keys, own.encode(texts), strict=True)
-                keys, texts, size = [], [], 0
-        yield from zip(keys, own.encode(texts), strict=True)
+        keys, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(keys):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
+            yield from zip(keys[at:to], own.encode(texts.slice(at, to - at)), strict=True)
+            at = to
