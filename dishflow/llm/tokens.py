@@ -38,7 +38,7 @@ class Encoder:
         before = made["pre_tokenizer"] or {}
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.cuttable = made["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and len(line) == 1
-        self.line = line[0]
+        self.line = line[0] if self.cuttable else -1
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
         self.known: dict[str, bytes] = {}  # ids of " " + piece
         self.heads: dict[str, bytes] = {}  # of a piece at the beginning of a text or line
