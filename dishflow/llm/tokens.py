@@ -121,8 +121,12 @@ class Encoder:
         rest[begin[:-1]] = False
         used[index[rest]] = True
         own, heads = pieces.filter(pa.array(used)).to_pylist(), pieces.filter(pa.array(is_head)).to_pylist()
-        self._learn(set(own) - self.known.keys(), set(heads) - self.heads.keys())
-        ids = [*map(self.known.__getitem__, own), *map(self.heads.__getitem__, heads)]
+        ids = [*map(self.known.get, own), *map(self.heads.get, heads)]  # most are known
+        new = [i for i, x in enumerate(ids) if x is None]
+        n = len(own)
+        self._learn({own[i] for i in new if i < n}, {heads[i - n] for i in new if i >= n})
+        for i in new:
+            ids[i] = self.known[own[i]] if i < n else self.heads[heads[i - n]]
         places = np.where(rest, (np.cumsum(used) - 1)[index], (len(own) + np.cumsum(is_head) - 1)[index])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4")))
