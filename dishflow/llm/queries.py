@@ -97,6 +97,23 @@ SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS "rank", vec_id, score
         FROM s QUALIFY "rank" <= 5""",
+    "op3_chat_format": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        u AS (SELECT *, 3 + length(role || text) + length(role || text) - length(regexp_replace(role || text, '[\x02\x03\x0E]', '', 'g')) AS chars FROM t),
+        g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+                     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars,
+                     count(*) FILTER (WHERE role = 'assistant') AS n_examples FROM u GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_examples FROM g""",
+    "op6_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        x AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+        b AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS d FROM x) WHERE d < doc_id),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM b),
+        r AS (SELECT doc_id, count(*) AS n_removed, sum(first)::BIGINT AS n_spans FROM (SELECT doc_id, CASE WHEN p = lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 1 THEN 0 ELSE 1 END AS first FROM c) GROUP BY doc_id),
+        k AS (SELECT e.doc_id, string_agg(e.t, ' ' ORDER BY e.p) AS kept FROM (SELECT doc_id, unnest(ws) AS t, generate_subscripts(ws, 1) AS p FROM w) e ANTI JOIN c ON c.doc_id = e.doc_id AND c.p = e.p GROUP BY e.doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

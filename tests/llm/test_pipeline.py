@@ -52,7 +52,7 @@ def test_registered():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
 
 
-@pytest.mark.parametrize("name", ["op2_topk", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_topk", "op3_chat_format", "op6_substring_dedup", "op10_exact_dedup"])
 def test_query_equals_sql(spark, duck, sf, name):
     from tests.conftest import same_rows
 
