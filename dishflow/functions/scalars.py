@@ -71,6 +71,11 @@ def color(text: str) -> int:
     return 0xFF000000 | int(text.removeprefix("#")[-6:], 16)
 
 
+def color_column(text: Column) -> Column:
+    """As color, of a column."""
+    return F.conv(F.right(text, F.lit(6)), 16, 10).cast("long") + F.lit(0xFF000000)
+
+
 def argb(a: Column, r: Column, g: Column, b: Column) -> Column:
     return (a * 16777216 + r * 65536 + g * 256 + b).cast("long")
 

@@ -546,3 +546,49 @@ def compose_pipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     taper = lambda d: d.withColumn("y", F.col("x") * cosine_sum(F.col("pos"), N, HANN))
     rms = lambda d: d.groupBy("seg").agg(r6(F.sqrt(F.avg(F.col("y") * F.col("y")))).alias("rms"))
     return samples(spark, sf_dir, N).transform(taper).transform(detect.without_baseline).transform(rms)
+
+
+# --- more of the same ------------------------------------------------------------------------------------------------
+@query("""WITH t AS (SELECT p_partkey, p_size || '-' || (p_size + 3) || ', ' || p_size || ', ' || (p_partkey % 90) || ' -' || (p_partkey % 90 + 7) AS l FROM part),
+    i AS (SELECT p_partkey, unnest(string_split(l, ',')) AS item FROM t), e AS (SELECT p_partkey, list_filter(string_split(item, '-'), lambda x: trim(x) <> '') AS ends FROM i)
+    SELECT p_partkey, trim(ends[1])::DOUBLE AS lo, trim(ends[2])::DOUBLE AS hi FROM e WHERE len(ends) = 2""")
+def zap_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band lists in a column: items that aren't two numbers are skipped."""
+    text = F.concat_ws("", F.col("p_size"), F.lit("-"), F.col("p_size") + 3, F.lit(", "), F.col("p_size"), F.lit(", "), F.col("p_partkey") % 90, F.lit(" -"), F.col("p_partkey") % 90 + 7)
+    found = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(text, ",")).alias("item")).withColumn("ends", rfi.zap_ends(F.col("item")))
+    return found.where(F.size("ends") == 2).select("p_partkey", F.col("ends")[0].alias("lo"), F.col("ends")[1].alias("hi"))
+
+
+@query("SELECT p_partkey, (4278190080 + p_partkey * 7919 % 16777216)::BIGINT AS argb FROM part")
+def color_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """#rrggbb texts as opaque ARGB."""
+    text = F.concat(F.lit("#"), F.lower(F.lpad(F.hex(F.col("p_partkey") * 7919 % 16777216), 6, "0")))
+    return table(spark, sf_dir, "part").withColumn("color", text).select("p_partkey", X.color_column(F.col("color")).alias("argb"))
+
+
+@query("""WITH v AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) > 0 AS alive FROM embeddings), g AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, alive FROM v),
+    n AS (SELECT a.vec_id, a.y, a.x, a.alive, sum(CASE WHEN b.alive THEN 1 ELSE 0 END) AS n FROM g a JOIN g b ON a.vec_id = b.vec_id AND (b.y - a.y + 8) % 8 IN (0, 1, 7) AND (b.x - a.x + 8) % 8 IN (0, 1, 7) AND NOT (a.y = b.y AND a.x = b.x) GROUP BY ALL)
+    SELECT vec_id, y::BIGINT AS y, x::BIGINT AS x, (n = 3 OR (alive AND n = 2)) AS alive FROM n""")
+def life_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of B3/S23 on a torus: every live cell tells its neighbours, the counts meet the cells."""
+    cells = vectors(spark, sf_dir).select("vec_id", F.floor(F.col("pos") / 8).cast("long").alias("y"), (F.col("pos") % 8).alias("x"), (F.col("x") > 0).alias("alive"))
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]))
+    told = cells.where("alive").select("vec_id", "y", "x", around.alias("o")).select("vec_id", F.pmod(F.col("y") + F.col("o.dy"), F.lit(8)).alias("y"), F.pmod(F.col("x") + F.col("o.dx"), F.lit(8)).alias("x"))
+    counts = told.groupBy("vec_id", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+    next_ = (F.col("n") == 3) | (F.col("alive") & (F.col("n") == 2))
+    return cells.join(counts, ["vec_id", "y", "x"], "left").select("vec_id", "y", "x", F.coalesce(next_, F.lit(False)).alias("alive"))
+
+
+@query("""SELECT s_suppkey, '0B000000' || hex('source_name') || lpad(hex(length(s_name)), 2, '0') || '000000' || hex(s_name) AS header FROM supplier""")
+def sigproc_header_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header entry for each name: strings with their length, a little-endian 32-bit integer, before them."""
+    text = lambda x, n: F.concat(F.lpad(F.hex(n), 2, "0"), F.lit("000000"), F.hex(x))
+    key = F.lit("source_name")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(text(key, F.length(key)), text(F.col("s_name"), F.length("s_name"))).alias("header"))
+
+
+@query(f"WITH {S_BYTES} SELECT doc_id, count(*) AS n, sum(v)::BIGINT AS total FROM b WHERE i >= 16 GROUP BY doc_id")
+def header_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples behind a header of 16 bytes."""
+    d = documents_bytes(spark, sf_dir).where(F.octet_length("raw") > 16).select("doc_id", F.expr("substring(raw, 17)").alias("raw"))
+    return _digest(unpack.unpack(d, "doc_id", "raw", 8)).select("doc_id", "n", "total")

@@ -34,6 +34,12 @@ def parse_zap_list(text: str) -> list[tuple[float, float]]:
     return out
 
 
+def zap_ends(item: Column) -> Column:
+    """The numbers of one item of a band list that is a column."""
+    parts = F.filter(F.split(item, "-"), lambda x: F.trim(x) != "")
+    return F.transform(parts, lambda x: F.trim(x).try_cast("double"))
+
+
 def zap_bins(pairs: list[tuple[float, float]], n: int, freq_low: float, bandwidth: float) -> list[tuple[int, int]]:
     """Inclusive bins of frequency ranges; a range that leaves the band is skipped as a whole."""
     out = []
