@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dishflow.operators.kernels import stacked_kernel
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,10 +20,17 @@ def samples(spark: SparkSession, sf_dir: str, n: int = 256) -> DataFrame:
 
 
 def segments(long_rows: DataFrame, n: int, key: str = "seg", pos: str = "pos", value: str = "x") -> DataFrame:
-    """key, x: one array of n doubles a segment; positions that have no row are 0."""
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
-    grouped = long_rows.groupBy(key).agg(F.map_from_entries(pairs).alias("m"))
-    return grouped.select(key, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0))).alias("x"))
+    """key, x: one array of n doubles a segment; positions that have no row are 0. Rows come in any order: a segment's
+    values are scattered to their places in numpy."""
+
+    def fn(p: np.ndarray, v: np.ndarray) -> tuple[np.ndarray]:
+        out = np.zeros((len(p), n))
+        out[np.arange(len(p))[:, None], p.astype(np.int64)] = v
+        return (out,)
+
+    cells = long_rows.groupBy(key).agg(F.collect_list(F.struct(F.col(pos).cast("double").alias("p"), F.col(value).alias("v"))).alias("c"))
+    grouped = cells.select(key, F.transform("c", lambda z: z["p"]).alias("p"), F.transform("c", lambda z: z["v"]).alias("v"))
+    return stacked_kernel(grouped, [key], ["p", "v"], ["x"], fn)
 
 
 def documents_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
