@@ -132,10 +132,11 @@ def repeated(docs: DataFrame, kind: Kind, texts: DataFrame) -> DataFrame:
     """d, t, start, runs: for each occurrence of a path that shares windows, the runs (from, to, n, d) of its windows,
     with their number of occurrences in docs and the smallest document among them. start: the path's first window."""
     listed = materialise(keyed(docs).select("d", "t", "text").mapInArrow(_listed(kind), "least long, path long, d long, ref long"))
-    twice = listed.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("least")
+    # what is joined with many rows of a key is written first: Spark splits large partitions only of joins of plain inputs
+    twice = materialise(listed.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("least"))
     some = materialise(listed.join(twice, "least", "left_semi"))
     own = materialise(some.groupBy("least", "path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "ref")).alias("src")))
-    branches = own.groupBy("least").agg(F.count(F.lit(1)).alias("paths"))
+    branches = materialise(own.groupBy("least").agg(F.count(F.lit(1)).alias("paths")))
     known = own.join(branches, "least").select("least", "path", "n", F.col("src.d").alias("d"), F.col("src.ref").alias("ref"), "paths")
     width = F.col("path").bitwiseAND(F.lit(FIELD << 10)) / (1 << 10)
     run = lambda a, b, n, d: F.struct(a.cast("int").alias("from"), b.cast("int").alias("to"), n.alias("n"), d.alias("d"))
@@ -153,15 +154,30 @@ def repeated(docs: DataFrame, kind: Kind, texts: DataFrame) -> DataFrame:
     whole = sized.drop("n", "d").join(forms.where("forms = 1 and n > 1"), ["least", "block", "hash"])
     whole = whole.select("least", "path", run(F.col("first"), F.col("first") + F.col("size"), F.col("n"), F.col("d")).alias("run"))
     open_ = forms.where("forms > 1").select("least", "block", "hash", "n", "d", "chosen")
-    windows = materialise(blocks.join(open_, ["least", "block", "hash"]).select("least", "path", "first", "n", "d", "chosen", F.posexplode("ws").alias("i", "w")))
-    same = windows.where("path = chosen").groupBy("least", "w").agg(F.sum("n").alias("n"), F.min("d").alias("d")).where("n > 1")
-    place = F.col("first") + F.col("i")
-    single = windows.drop("n", "d").join(same, ["least", "w"]).select("least", "path", run(place, place + 1, F.col("n"), F.col("d")).alias("run"))
-    branching = whole.unionByName(single).groupBy("least", "path").agg(F.collect_list("run").alias("runs"))
+    # a form's count and document stand at the path that was chosen for it
+    stands = [F.when(F.col("path") == F.col("chosen"), F.col(c)).alias(c) for c in ("n", "d")]
+    opened = blocks.join(open_, ["least", "block", "hash"]).select("least", "path", "first", *stands, F.posexplode("ws").alias("i", "w"))
+    windows = materialise(opened.select("least", "path", (F.col("first") + F.col("i")).alias("place"), "w", "n", "d"))
+    same = windows.where("n is not null").groupBy("least", "w").agg(F.sum("n").alias("n"), F.min("d").alias("d")).where("n > 1")
+    place = F.col("place")
+    single = windows.select("least", "path", "place", "w").join(same, ["least", "w"]).select("least", "path", run(place, place + 1, F.col("n"), F.col("d")).alias("run"))
+    branching = whole.unionByName(single).groupBy("least", "path").agg(_joined(F.collect_list("run")).alias("runs"))
     found = materialise(straight.unionByName(branching))
     return some.join(found, ["least", "path"]).select("d", F.shiftright("ref", 32).alias("t"), start.alias("start"), "runs")
 
 
+def _joined(runs: Column) -> Column:
+    """Runs in order; what continues a run of the same document becomes part of it (n: the smaller one)."""
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["from"].alias("from"), r["to"].alias("to"), F.least(last["n"], r["n"]).alias("n"), r["d"].alias("d"))
+        fits = F.coalesce((last["to"] == r["from"]) & (last["d"] == r["d"]), F.lit(False))
+        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(F.array_sort(runs), F.filter(runs, lambda r: F.lit(False)), add)
+
+
 def spans(shared: DataFrame, counts: Callable[[Column], Column], kind: Kind) -> DataFrame:
     """d, t, spans (from, to): tokens of each document that windows cover which counts(run) selects. Spans may overlap.
     The set merges the rows of repeated documents before they are shuffled."""
