@@ -200,5 +200,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
     roots = connected_components(links(distinct, most)).select(F.col("node").alias("fp"), "root")
     classes = materialise(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     names = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(names, "root").select("fp", "component_id")
+    # written first: Spark splits large partitions, as a text with many copies makes, only of joins of plain inputs
+    named = materialise(classes.join(names, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
