@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from dishflow.llm.repeats import Kind, merged, packed_texts, repeated, spans
 
-ANCHOR = 200
+ANCHOR = 256
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("kept", pa.binary())])
 
 
