@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dishflow.llm.common import shuffle_partitions, table, text_rows
+from dishflow.llm.common import materialise, shuffle_partitions, table, text_rows
 from dishflow.llm.exact_dedup import exact_dedup, normalised
 from dishflow.llm.mixing import mix
+from dishflow.llm.near_copies import near_copies
 from dishflow.llm.packing import pack_documents
 from dishflow.llm.quality import keep_accepted
-from dishflow.llm.simhash_dedup import near_duplicates
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -50,10 +50,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that which names the group. Parameters as in op1: three-word shingles
-    and 3 of 64 bits, which find more of the pairs of high similarity than five-word shingles do, and no looser ones."""
-    kept = near_duplicates(docs, words=3, most=3).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group of near copies (similarity of five-word shingles 0.8 or more, over chains of links): that
+    of the smallest doc_id, null last. op1's three words and 3 of 64 bits are its own contract and don't bind the stage."""
+    row = _free(docs, "row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+    near = materialise(near_copies(numbered.select(F.col(row).alias("row"), "doc_id", "text")))
+    stays = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best")).select("best.row")
+    gone = materialise(near.select("row").join(stays, "row", "left_anti").withColumnRenamed("row", row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
