@@ -23,13 +23,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dishflow.llm.common import materialise, text_rows
+from dishflow.llm.common import documents, materialise, text_rows
 from dishflow.llm.paths import TOKENS, U, Hashes, mixed, paths
 
 LAST_ID = (1 << 63) - 1  # stands for a null doc_id: no document is after it
 BLOCK = 16
 #: path = 44 bits of hash, 10 bits: number of windows, 10 bits: distance of the minimiser from the first window.
 FIELD = (1 << 10) - 1
+LISTED = ["least", "path", "d", "t", "start"]
 
 
 @dataclass(frozen=True)
@@ -45,34 +46,28 @@ class Kind:
             raise ValueError("a path has at most as many windows as a window has tokens, and 1023")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, d, t, text: d and t (a hash of the text) tell rows apart that share a doc_id; rows that share both are equal."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return own.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("d"), F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("long").alias("t"), "text")
-
-
 def _listed(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = TOKENS[kind.tokens]
+        unpack = zstandard.ZstdDecompressor()
         with np.errstate(over="ignore"):
             for batch in batches:
-                cols: list[list[np.ndarray]] = [[], [], [], []]
+                cols: list[list[np.ndarray]] = [[], [], [], [], []]
                 rows = 0
-                for d, t, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), text_rows(batch), strict=True):
-                    own = tokens(text)
+                for d, t, packed in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
+                    own = tokens(unpack.decompress(packed.as_py()))
                     if len(own) < kind.window:
                         continue
                     least, h, start, n, off = paths(own, kind.window, kind.anchor)
                     path = (h >> 20 << 20) | n << 10 | -off
-                    for col, x in zip(cols, (least, path, np.full(len(h), d), (int(t) << 32) | start), strict=True):
+                    for col, x in zip(cols, (least, path, np.full(len(h), d), np.full(len(h), t), start), strict=True):
                         col.append(x)
                     rows += len(h)
                     if rows > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["least", "path", "d", "ref"])
-                        cols, rows = [[], [], [], []], 0
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=LISTED)
+                        cols, rows = [[], [], [], [], []], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["least", "path", "d", "ref"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=LISTED)
 
     return run
 
@@ -112,39 +107,36 @@ def _blocks(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, d, t, z: texts as zstandard frames, which halves what shuffles write."""
+    """doc_id, d, t, z: texts as zstandard frames, which halves what shuffles write. t is a number of the row, fixed by
+    being written: neither equal doc_ids (d: with a number for null) nor equal texts make two rows one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1, write_content_size=True)
         for batch in batches:
             frames = pa.array([packer.compress(x) for x in text_rows(batch)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], frames], names=["doc_id", "d", "t", "z"])
-
-    return keyed(docs).mapInArrow(run, "doc_id long, d long, t long, z binary")
-
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], frames], names=["doc_id", "d", "z"])
 
-def _only_once(asked: DataFrame, texts: DataFrame) -> DataFrame:
-    """The asked paths with the text of their document; rows that repeat a document give theirs once."""
-    return texts.join(asked, ["d", "t"]).dropDuplicates(["d", "t"])
+    own = documents(docs).select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("d"), "text")
+    packed = own.mapInArrow(run, "doc_id long, d long, z binary")
+    return materialise(packed.select("doc_id", "d", F.monotonically_increasing_id().alias("t"), "z"))
 
 
-def repeated(docs: DataFrame, kind: Kind, texts: DataFrame) -> DataFrame:
-    """d, t, start, runs: for each occurrence of a path that shares windows, the runs (from, to, n, d) of its windows,
-    with their number of occurrences in docs and the smallest document among them. start: the path's first window."""
-    listed = materialise(keyed(docs).select("d", "t", "text").mapInArrow(_listed(kind), "least long, path long, d long, ref long"))
+def repeated(texts: DataFrame, kind: Kind) -> DataFrame:
+    """d, t (row), start, runs: for each occurrence of a path that shares windows, the runs (from, to, n, d) of its windows,
+    with their number of occurrences in texts and the smallest document among them. start: the path's first window."""
+    listed = materialise(texts.select("d", "t", "z").mapInArrow(_listed(kind), "least long, path long, d long, t long, start long"))
     # what is joined with many rows of a key is written first: Spark splits large partitions only of joins of plain inputs
     twice = materialise(listed.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("least"))
     some = materialise(listed.join(twice, "least", "left_semi"))
-    own = materialise(some.groupBy("least", "path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "ref")).alias("src")))
+    own = materialise(some.groupBy("least", "path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "start")).alias("src")))
     branches = materialise(own.groupBy("least").agg(F.count(F.lit(1)).alias("paths")))
-    known = own.join(branches, "least").select("least", "path", "n", F.col("src.d").alias("d"), F.col("src.ref").alias("ref"), "paths")
+    known = own.join(branches, "least").select("least", "path", "n", "src.d", "src.t", "src.start", "paths")
     width = F.col("path").bitwiseAND(F.lit(FIELD << 10)) / (1 << 10)
     run = lambda a, b, n, d: F.struct(a.cast("int").alias("from"), b.cast("int").alias("to"), n.alias("n"), d.alias("d"))
     straight = known.where("paths = 1 and n > 1").select("least", "path", F.array(run(F.lit(0), width, F.col("n"), F.col("d"))).alias("runs"))
 
-    start = F.col("ref").bitwiseAND(F.lit(0xFFFFFFFF))
-    asked = known.where("paths > 1").groupBy("d", F.shiftright("ref", 32).alias("t")).agg(F.collect_list(F.struct("least", "path", start.alias("start"))).alias("asked"))
-    fetched = _only_once(asked, texts).select("z", "asked").mapInArrow(_blocks(kind), "least long, block int, hash long, path long, first int, ws array<long>")
+    asked = known.where("paths > 1").groupBy("t").agg(F.collect_list(F.struct("least", "path", "start")).alias("asked"))
+    fetched = texts.join(asked, "t").select("z", "asked").mapInArrow(_blocks(kind), "least long, block int, hash long, path long, first int, ws array<long>")
     blocks = materialise(fetched)
     counted = own.select("least", "path", "n", F.col("src.d").alias("d"))
     sized = blocks.select("least", "block", "hash", "path", "first", F.size("ws").alias("size")).join(counted, ["least", "path"])
@@ -163,7 +155,7 @@ def repeated(docs: DataFrame, kind: Kind, texts: DataFrame) -> DataFrame:
     single = windows.select("least", "path", "place", "w").join(same, ["least", "w"]).select("least", "path", run(place, place + 1, F.col("n"), F.col("d")).alias("run"))
     branching = whole.unionByName(single).groupBy("least", "path").agg(_joined(F.collect_list("run")).alias("runs"))
     found = materialise(straight.unionByName(branching))
-    return some.join(found, ["least", "path"]).select("d", F.shiftright("ref", 32).alias("t"), start.alias("start"), "runs")
+    return some.join(found, ["least", "path"]).select("d", "t", "start", "runs")
 
 
 def _joined(runs: Column) -> Column:
@@ -179,12 +171,11 @@ def _joined(runs: Column) -> Column:
 
 
 def spans(shared: DataFrame, counts: Callable[[Column], Column], kind: Kind) -> DataFrame:
-    """d, t, spans (from, to): tokens of each document that windows cover which counts(run) selects. Spans may overlap.
-    The set merges the rows of repeated documents before they are shuffled."""
+    """t, spans (from, to): tokens of each row that windows cover which counts(run) selects. Spans may overlap."""
     kept = F.filter("runs", counts)
     cover = F.transform(kept, lambda r: F.struct((F.col("start") + r["from"]).alias("from"), (F.col("start") + r["to"] + (kind.window - 1)).alias("to")))
-    some = shared.select("d", "t", cover.alias("cover")).where(F.size("cover") > 0)
-    return some.groupBy("d", "t").agg(F.flatten(F.collect_set("cover")).alias("spans"))
+    some = shared.select("t", cover.alias("cover")).where(F.size("cover") > 0)
+    return some.groupBy("t").agg(F.flatten(F.collect_set("cover")).alias("spans"))
 
 
 def merged(found: np.ndarray) -> np.ndarray:

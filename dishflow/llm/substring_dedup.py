@@ -30,7 +30,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = 50, anchor: int = ANCH
     """doc_id, n_words, n_removed, spans (words removed), kept (binary: what is left, joined by single spaces)."""
     kind = Kind("words", window, anchor)
     texts = packed_texts(docs)
-    earlier = spans(repeated(docs, kind, texts), lambda r: r["d"] < F.col("d"), kind)
+    earlier = spans(repeated(texts, kind), lambda r: r["d"] < F.col("d"), kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -48,5 +48,5 @@ def drop_repeated_passages(docs: DataFrame, window: int = 50, anchor: int = ANCH
                     rows.append((doc_id.as_py(), len(words), len(words) - len(kept), [{"from": a, "to": b} for a, b in gone.tolist()], b" ".join(kept)))
                 yield pa.RecordBatch.from_pylist([dict(zip(OUT.names, r, strict=True)) for r in rows], schema=OUT)
 
-    return texts.join(earlier, ["d", "t"], "left").select("doc_id", "z", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept binary")
+    return texts.join(earlier, "t", "left").select("doc_id", "z", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept binary")
 

@@ -29,7 +29,7 @@ def drop_repeated_bytes(docs: DataFrame, window: int = 400, anchor: int = ANCHOR
     """doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes), kept (binary: the bytes that are left)."""
     kind = Kind("bytes", window, anchor)
     texts = packed_texts(docs)
-    elsewhere = spans(repeated(docs, kind, texts), lambda r: r["n"] > 1, kind)
+    elsewhere = spans(repeated(texts, kind), lambda r: r["n"] > 1, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -47,4 +47,4 @@ def drop_repeated_bytes(docs: DataFrame, window: int = 400, anchor: int = ANCHOR
                     rows.append((doc_id.as_py(), len(data), len(data) - len(kept), [{"from": a, "to": b} for a, b in gone.tolist()], kept))
                 yield pa.RecordBatch.from_pylist([dict(zip(OUT.names, r, strict=True)) for r in rows], schema=OUT)
 
-    return texts.join(elsewhere, ["d", "t"], "left").select("doc_id", "z", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept binary")
+    return texts.join(elsewhere, "t", "left").select("doc_id", "z", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept binary")
