@@ -1,8 +1,9 @@
 """Stages of the corpus pipeline: documents in, documents out (the last: packed pieces).
 
 A doc_id names a document. Defined cases: rows that share a doc_id but not their text are told apart where the operator
-does so (quality, exact dedup, mixing); the near-dedup stage keeps all rows of a doc_id that stays. Rows with a null
-doc_id or text take part in every stage; an empty table passes through; further columns pass through unchanged.
+does so (quality, exact dedup, mixing); the near-dedup stage numbers rows, so one row of a group stays whatever the ids.
+Rows with a null doc_id or text take part in every stage; an empty table passes through; further columns pass through
+unchanged.
 """
 
 from __future__ import annotations

@@ -64,3 +64,13 @@ def test_a_large_group_gives_few_pairs(spark, monkeypatch):
     found = near_copies.near_copies(spark.createDataFrame(rows, "row long, doc_id long, text string"))
     assert found.count() == 400 and found.select("root").distinct().count() == 1
     assert sum(x.count() for x in made if x.columns == ["a", "b"]) < 40 * 400
+
+
+def test_one_row_of_a_group_without_ids_stays(spark):
+    rng = random.Random(9)
+    one, two = (" ".join(rng.choices([f"w{i}" for i in range(200)], k=100)) for _ in range(2))
+    rows = [(None, one), (None, one + " end"), (None, one.upper()), (4, two), (None, two + " end"), (4, "alone"), (None, "lone too")]
+    kept = drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    texts = [r.text for r in kept]
+    assert sorted((r.doc_id or -1, r.text) for r in kept if r.text not in (one, one + " end", one.upper())) == [(-1, "lone too"), (4, "alone"), (4, two)]
+    assert len(texts) == 4
