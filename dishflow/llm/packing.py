@@ -16,7 +16,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,14 +35,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, little-endian unsigned 32-bit)."""
-    end = np.uint32(end_id).tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for doc_id, ids in encoded(batches, tokenizer):
-            view = memoryview(ids + end)
+        for doc_id, view in encoded(batches, tokenizer, end_id):
             for no, (start, n) in enumerate(cut(len(view) // 4, capacity)):
                 own = view[4 * start : 4 * (start + n)]
                 rows.append((doc_id, no, start, n, zlib.crc32(own)) + (bytes(own),) * with_ids)

@@ -30,7 +30,8 @@ from dishflow.llm.common import documents, materialise, scratch_dir, shuffle_par
 from dishflow.llm.tokens import encoded
 
 MAGIC = b"DFTOKEN1"
-SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16384, 112640
+#: The dictionary serves short documents: it is trained on so many whole ones of at most so many bytes of text.
+SAMPLE_ROWS, SHORT_BYTES, DICTIONARY_BYTES = 512, 65536, 112640
 SHARD_ROWS, SHARD_BYTES = 4096, 16_000_000
 BROADCAST_ROWS = 500_000  # shards whose places (16 bytes each) are broadcast; more are joined by shuffle
 
@@ -72,15 +73,14 @@ def _prepared(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
-    """From the serialised arrays of at most SAMPLE_ROWS documents (the first that a hash selects), SAMPLE_BYTES of
-    each at most. It sets the compression ratio only, never what is read back. Too small a sample serves as it is."""
+    """From the serialised arrays of whole short documents (SHORT_BYTES): the SAMPLE_ROWS whose hashes are smallest. It
+    sets the compression ratio only, never what is read back. Too small a sample serves as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids in encoded(batches, tokenizer):
-            yield pa.RecordBatch.from_arrays([pa.array([_serial(ids, end_id, width)[:SAMPLE_BYTES]], pa.binary())], names=["sample"])
+        for _, ids in encoded(batches, tokenizer, end_id, width):
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(ids)], pa.binary())], names=["sample"])
 
-    every = max(1, docs.count() // (4 * SAMPLE_ROWS))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(SAMPLE_ROWS)
+    chosen = docs.where(F.octet_length("text") <= SHORT_BYTES).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_ROWS)
     samples = [r.sample for r in chosen.mapInArrow(run, "sample binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3).as_bytes()
@@ -88,10 +88,6 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def _serial(ids: bytes, end_id: int, width: int) -> bytes:
-    return np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)).astype(f"<u{width}").tobytes()
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Shards in ascending doc_id order under path/shards, their dictionary under path/dictionary. width: bytes of an id."""
     spark = docs.sparkSession
@@ -114,8 +110,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, w
             part = [len(bounds) if x is None else int(np.searchsorted(bounds, x)) for x in ids]
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["part", "doc_id", "n_tokens", "frame"])
 
-        for doc_id, ids in encoded(batches, tokenizer):
-            rows.append((doc_id, len(ids) // 4 + 1, packer.compress(_serial(ids, end_id, width))))
+        for doc_id, ids in encoded(batches, tokenizer, end_id, width):
+            rows.append((doc_id, len(ids) // width, packer.compress(ids)))
             size += len(rows[-1][2])
             if size > 4_000_000 or len(rows) == 2000:
                 yield flush()

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from dishflow.llm.common import scratch_dir
 from dishflow.llm.packing import best_fit_plan, cut, pack_documents
 from dishflow.llm.token_files import Shard, read_token_files, token_digests, write_shard, write_token_files
-from dishflow.llm.tokens import Encoder
+from dishflow.llm.tokens import Encoder, encoded
 from tests.llm.conftest import odd_rows
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,28 +20,50 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda texts: [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_pieces_give_the_ids_of_whole_texts(plain, monkeypatch):
     import dishflow.llm.tokens as tokens
 
-    monkeypatch.setattr(tokens, "CACHE_CHARS", 2000)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 200)
     rng = random.Random(2)
-    parts = ["a", "b", " ", "  ", "\n", "\t", "'s", "'", "1", "é", "\x1c", "\x85", "\xa0", "<|endoftext|>", ".", "́", "日", "\r\n", "\x0b", " the", "Foo.\nBar", "\n\n", "\x00"]
+    parts = ["a", "b", " ", "  ", "\n", "\t", "'s", "'", "1", "é", "\x1c", "\x85", "\xa0", "<|endoftext|>", ".", "́", "日", "\r\n", "\x0b", " the", "Foo.\nBar", "\n\n", "\x00", "don't!", "x," * 40, "É;", "ª.", "...", "?\n", "ġ", "Ġ"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
     own = Encoder(PATH)
     assert own.cuttable
     for i in range(0, len(texts), 500):
-        assert own.encode(pa.array(texts[i : i + 500])) == plain(texts[i : i + 500])
+        found = own.encode(pa.array(texts[i : i + 500]), 7, np.dtype("<u4"))
+        assert [bytes(x) for x in found] == [x + np.uint32(7).tobytes() for x in plain(texts[i : i + 500])]
+
+
+def test_control_strings_in_texts_get_the_ids_that_the_library_gives(plain):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y", "<|endoftext|", ""]
+    found = Encoder(PATH).encode(pa.array(texts), 0, np.dtype("<u4"))
+    assert [bytes(x)[:-4] for x in found] == plain(texts) and bytes(found[0]) == np.array([50256, 0], "<u4").tobytes()
+
+
+def test_ids_must_fit_their_width():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a"])], names=["doc_id", "text"])
+    with pytest.raises(ValueError):
+        next(encoded(iter([batch]), PATH, 2, width=1))
+    with pytest.raises(ValueError):
+        next(encoded(iter([batch]), PATH, 70_000, width=2))
+
+
+def test_slices_and_nulls(plain):
+    texts = ["skipped", None, "one two,", "", "three  four\n\nfive!", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["doc_id", "text"]).slice(1)
+    for size in (1, 10, 1000):
+        got = [(k, bytes(x)[:-4]) for k, x in encoded(iter([batch]), PATH, 2, size=size)]
+        assert got == list(zip(range(1, 6), plain([t or "" for t in texts[1:]]), strict=True))
 
 
 def test_other_tokenizers_are_used_as_they_are():
     path = public_tokenizers.path("word_bpe_49k.json")
     t, own = Tokenizer.from_file(path), Encoder(path)
     assert not own.cuttable
-    assert own.encode(pa.array(["Hello  World"])) == [np.array(t.encode("Hello  World", add_special_tokens=False).ids, "<u4").tobytes()]
+    assert bytes(own.encode(pa.array(["Hello  World"]), 9, np.dtype("<u4"))[0]) == np.array([*t.encode("Hello  World", add_special_tokens=False).ids, 9], "<u4").tobytes()
 
 
 def test_shard_round_trip():
