@@ -1,15 +1,16 @@
 """Groups of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. No pair is missed.
 
-1. Rows of equal normalised text are one node. A node's shingles are put in a fixed order, and it keeps the head of them
-   (prefix): of n shingles all but ceil(0.8 n) - 1. Two texts of similarity 0.8 always have a shingle of their heads in
-   common, whatever the order; shingles that a sample shows to be frequent come last, so that few others meet.
-2. Nodes that share a head shingle are a bucket. Members of large buckets are compared with one of them at first, and
-   the links found join nodes to components; after that only members of different components are compared. A large
-   group of near copies thus gives few pairs more than it has members. Sizes, places in the order, parity bits and the
-   number of shared buckets rule out pairs that cannot be similar enough (bounds, not estimates).
-3. The Jaccard similarity of what is left is computed from whole sets of shingles, as 64-bit hashes.
-
-SimHash keys don't do here: at similarity 0.8 about 10 of 64 bits differ (README).
+1. Rows of equal normalised text are one node. SimHash fingerprints of the nodes' five-word shingles meet through their
+   Golay keys, as in simhash_dedup; links of up to 3 differing bits are verified by the Jaccard similarity of the whole
+   sets of shingles (64-bit hashes), and those that pass join nodes to groups.
+2. At similarity 0.8 about 10 of 64 bits differ, so fingerprints alone miss most such pairs (README). What they leave is
+   completed exactly: a node's shingles are put in a fixed order, and it keeps the head of them: of n shingles all but
+   ceil(0.8 n) - 1. Two texts of similarity 0.8 always have a shingle of their heads in common, whatever the order;
+   shingles that a sample shows to be frequent come last, so that few others meet. Nodes that share a head shingle are a
+   bucket. Members of large buckets are compared with one of them at first; after that only members of different groups
+   are compared. A large group thus gives few pairs more than it has members. Sizes, places in the order, parity bits and
+   the number of shared buckets rule out pairs that cannot be similar enough (bounds, not estimates); the others are
+   verified like the first.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from dishflow.llm.common import materialise, shuffle_partitions, text_rows
 from dishflow.llm.components import connected_components
 from dishflow.llm.paths import Hashes, word_tokens
+from dishflow.llm.simhash_dedup import fingerprints, links
 
 LEAST = (4, 5)  # similarity as a fraction: comparisons are between integers
 SAMPLE, OFTEN, LISTED = 8, 4, 1 << 20  # one node of so many is looked at for frequent shingles; how often; how many
@@ -193,6 +195,16 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], names=["a", "b"])
 
 
+def simhash_pairs(nodes: DataFrame, words: int) -> DataFrame:
+    """a, b: nodes (node, text) whose fingerprints link, as a spanning forest of all links of up to 3 bits."""
+    rows = materialise(fingerprints(nodes.select(F.col("node").alias("doc_id"), "text"), words))
+    firsts = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    of = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}"))
+    near = links(firsts, 3).join(of("a"), "a").join(of("b"), "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    equal = rows.join(firsts, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    return near.unionByName(equal).distinct()
+
+
 def near_copies(rows: DataFrame, words: int = 5) -> DataFrame:
     """row, doc_id, root: of rows (row: a long that names each row, fixed; doc_id; text) those in groups of two or more.
     Null and blank texts are near copies of each other."""
@@ -210,20 +222,25 @@ def near_copies(rows: DataFrame, words: int = 5) -> DataFrame:
     heads = own.mapInArrow(_heads(words, token[order], count[order]), "token long, node long, size int, place int, bits long")
     shared = materialise(heads.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, node long, size int, place int, bits long"))
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        sets = materialise(texts.select(F.col("row").alias("node"), "text").join(asked, "node", "left_semi").mapInArrow(_sets(words), "node long, hashes binary"))
+        one, two = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
+        return materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(_similar, "a long, b long"))
+
+    def grouped(found: DataFrame) -> DataFrame:
+        roots = connected_components(found)
+        return materialise(shared.join(roots, "node", "left").select(*HEAD, F.coalesce("root", "node").alias("root")))
+
     def compared(members: DataFrame, stars: bool) -> DataFrame:
         # the first member of a bucket is the same in all buckets of a group, so that their pairs are few
         dealt = members.repartition(n, "token").sortWithinPartitions("token", F.xxhash64("node"))
         named = dealt.mapInArrow(_pairs(stars), "a long, b long, need long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
         # a star counts only the buckets that its first member leads: what it misses is compared later
-        pairs = materialise(named.where("n >= need").select("a", "b"))
-        asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        sets = materialise(texts.select(F.col("row").alias("node"), "text").join(asked, "node", "left_semi").mapInArrow(_sets(words), "node long, hashes binary"))
-        one, two = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
-        return materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(_similar, "a long, b long"))
+        return verified(materialise(named.where("n >= need").select("a", "b")))
 
-    links = compared(shared.withColumn("root", F.col("node")), stars=True)
-    roots = connected_components(links)
-    members = materialise(shared.join(roots, "node", "left").select(*HEAD, F.coalesce("root", "node").alias("root")))
-    links = links.unionByName(compared(members, stars=False))
-    groups = materialise(nodes.join(connected_components(links), "node", "left").where("root is not null or copies > 1").select("digest", F.coalesce("root", "node").alias("root")))
+    found = verified(materialise(simhash_pairs(own, words)))
+    for stars in (True, False):
+        found = found.unionByName(compared(grouped(found), stars))
+    groups = materialise(nodes.join(connected_components(found), "node", "left").where("root is not null or copies > 1").select("digest", F.coalesce("root", "node").alias("root")))
     return digests.join(groups, "digest").select("row", "doc_id", "root")

@@ -9,7 +9,7 @@ import __spark_entry__
 import corpus_pipeline
 from dishflow.llm.common import materialise
 from dishflow.llm.quality import classify
-from tests.llm.test_dedup import components, fingerprint
+from tests.llm.test_near_copies import groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,8 +34,8 @@ def test_stages(spark, steps):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text), r.doc_id)
     assert sorted(r.doc_id for r in once.collect()) == sorted(first.values())
     rows = sorted(once.collect(), key=lambda r: r.doc_id)
-    label = components([fingerprint(r.text, 3) for r in rows], 3)
-    assert sorted(r.doc_id for r in far.collect()) == sorted({rows[i].doc_id for i in label.tolist()})
+    label = groups([r.text for r in rows])  # five words, similarity 0.8: op1's three words and bits bind its query only
+    assert sorted(r.doc_id for r in far.collect()) == sorted({rows[label.index(v)].doc_id for v in label})
     uses = Counter(r.doc_id for r in mixed.collect())
     assert set(uses) <= {r.doc_id for r in far.collect()} and max(uses.values()) <= 2
     assert {r.doc_id: r.n for r in packed.where("piece = 0").groupBy("doc_id").count().withColumnRenamed("count", "n").collect()} == uses
