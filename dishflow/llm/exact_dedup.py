@@ -2,8 +2,9 @@
 
 Each task fingerprints its documents, and for every owner (a range of the hash space) sends the sorted distinct
 hashes of a chunk as Golomb-Rice code. Owners decode, find the hashes that more than one chunk has and answer
-with a bitmap for each chunk. Only flagged documents (suspects) are shuffled for verification. The fingerprint
-is the head of the SHA-256 of the normalised bytes, and the whole digest verifies, so no text is shuffled.
+with a bitmap for each chunk. Only flagged documents (suspects) are read again and shuffled with their texts: each is
+compared byte by byte with one text of its digest. What differs from it although the digests are equal forms groups by
+its bytes, so a result never rests on hashes alone.
 
 Defined cases: null text counts as empty; a null doc_id sorts after all others; of repeated rows with one doc_id
 and equal text exactly one stays; an empty table gives an empty result; further columns are ignored.
@@ -12,7 +13,7 @@ and equal text exactly one stays; an empty table gives an empty result; further
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ def golomb_decode(data: bytes) -> np.ndarray:
 SENT = "chunk long, owner int, doc_ids array<long>, digests binary, hash_no array<int>, repeated binary, payload binary"
 
 
-def _send(owners: int, chunk_rows: int):
+def _send(owners: int, chunk_rows: int, digest: Callable[[bytes], bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, digests = [], []
         chunk = TaskContext.get().partitionId() << 32
@@ -93,7 +94,7 @@ def _send(owners: int, chunk_rows: int):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), text_rows(batch), strict=True):
                 ids.append(doc_id)
-                digests.append(hashlib.sha256(normalised(text)).digest())
+                digests.append(digest(normalised(text)))
                 if len(ids) == chunk_rows:
                     yield flush()
                     ids, digests = [], []
@@ -124,30 +125,51 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(row["doc_ids"], pa.int64()),
                     pa.array([digests[32 * i : 32 * i + 32].tobytes() for i in range(n)], pa.binary()),
-                    pa.array([row["chunk"]] * n, pa.int64()),
-                    pa.array(np.arange(n) + (row["owner"] << 32), pa.int64()),
                     pa.array((bits[0][no] | bits[1][no]).astype(bool)),
                 ],
-                names=["doc_id", "digest", "chunk", "place", "suspect"],
+                names=["doc_id", "digest", "suspect"],
             )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = 65536, owner_hashes: int = 500_000) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
+def sha256(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()
+
+
+def _texts(digest: Callable[[bytes], bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                some = batch.slice(i, 500)
+                own = [normalised(x) for x in text_rows(some)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([digest(x) for x in own], pa.binary()), pa.array(own, pa.binary())], names=["doc_id", "digest", "bytes"])
+
+    return run
+
+
+def exact_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = 65536, owner_hashes: int = 500_000, broadcast_digests: int = 500_000, digest: Callable[[bytes], bytes] = sha256
+) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs. Up to broadcast_digests digests of
+    suspects (32 bytes each) are broadcast to where the texts are; more of them meet the texts in a shuffle."""
     spark = docs.sparkSession
+    own = documents(docs, id_col, text_col)
     owners = max(shuffle_partitions(spark), -(-docs.count() // owner_hashes))
     # a chunk's rows hold a document's number and digest for each owner; chunk numbers hold once they are written
-    sent = materialise(documents(docs, id_col, text_col).mapInArrow(_send(owners, chunk_rows), SENT))
+    sent = materialise(own.mapInArrow(_send(owners, chunk_rows, digest), SENT))
     answers = sent.select("chunk", "owner", "payload").groupBy("owner").applyInArrow(_answer, "chunk long, owner int, bitmap binary")
-    rows = materialise(sent.drop("payload").join(answers, ["chunk", "owner"]).mapInArrow(_flagged, "doc_id long, digest binary, chunk long, place long, suspect boolean"))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "chunk", "place")
-    suspects = rows.where("suspect").select("doc_id", "digest", first.alias("me"))
+    rows = materialise(sent.drop("payload").join(answers, ["chunk", "owner"]).mapInArrow(_flagged, "doc_id long, digest binary, suspect boolean"))
+    flagged = materialise(rows.where("suspect").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    few = F.broadcast(flagged) if flagged.count() <= broadcast_digests else flagged
     # written first: Spark splits large partitions, as a large group makes, only of joins of plain inputs
-    groups = materialise(suspects.groupBy("digest").agg(F.min("me").alias("first"), F.count(F.lit(1)).alias("group_size")))
-    verified = suspects.join(groups, "digest").select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("me") == F.col("first")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
-    alone = rows.where("not suspect").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
-    return alone.unionByName(verified)
+    suspects = materialise(own.mapInArrow(_texts(digest), "doc_id long, digest binary, bytes binary").join(few, "digest", "left_semi"))
+    chosen = materialise(suspects.groupBy("digest").agg(F.min("bytes").alias("chosen")))
+    # null: the bytes are those of the chosen text; else they stand for themselves
+    form = F.when(F.col("bytes") != F.col("chosen"), F.col("bytes"))
+    # equal rows of one doc_id are counted, so that rows need no names of their own
+    members = materialise(suspects.join(chosen, "digest").select("doc_id", "digest", form.alias("form")).groupBy("digest", "form", "doc_id").agg(F.count(F.lit(1)).alias("n")))
+    groups = materialise(members.groupBy("digest", "form").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size")).select(F.col("digest").alias("of"), F.col("form").alias("as"), "keep_id", "group_size"))
+    verified = members.join(groups, (F.col("digest") == F.col("of")) & F.col("form").eqNullSafe(F.col("as"))).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
+    hexed = F.lower(F.hex("digest")).alias("text_sha256")
+    alone = rows.join(few, "digest", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
+    return alone.unionByName(verified.select("doc_id", "keep_id", "group_size", kept.alias("kept"), hexed))

@@ -41,6 +41,24 @@ def test_exact_dedup(odd, chunk):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def colliding(text):
+    """As many texts as not have the same digest."""
+    return hashlib.sha256(text).digest() if len(text) % 2 else bytes(32)
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_equal_digests_are_not_trusted(odd, broadcast):
+    groups = defaultdict(list)
+    for i, t, *_ in odd_rows():
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+    want = []
+    for ids in groups.values():
+        first = min((i for i in ids if i is not None), default=None)
+        want += [(i, first, len(ids), k == ids.index(first)) for k, i in enumerate(ids)]
+    got = exact_dedup(odd, digest=colliding, broadcast_digests=broadcast).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def fingerprint(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
