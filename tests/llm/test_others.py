@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -57,18 +58,19 @@ def test_all_sources_full_and_empty(spark, empty):
     assert mix(empty).count() == 0 and training_order(mix(empty)).count() == 0
 
 
-VECTORS = [(0, [1.0, 0.5, -0.25]), (50, [0.0, 0.0, 0.0]), (1, [1.0, 0.5, -0.25]), (2, [1.0, 0.5, -0.25]), (3, [1.0]), (4, []), (5, None), (6, [1.0, None]), (7, [float("nan")]), (8, [float("inf"), 1.0]), (9, [1e300]), (2, [-1.0, 3.0, 2.0]), (100, [0.1, 0.2, 0.3, 0.4]), (10, [-0.001, 0.0, 0.7])]
+VECTORS = [(0, [1.0, 0.5, -0.25]), (50, [0.0, 0.0, 0.0]), (1, [1.0, 0.5, -0.25]), (2, [1.0, 0.5, -0.25]), (3, [1.0]), (4, []), (5, None), (6, [1.0, None]), (7, [float("nan")]), (8, [float("inf"), 1.0]), (9, [1e300]), (11, [1e30, -3e29]), (12, [1e17]), (100, [1e18, 1.0]), (2, [-1.0, 3.0, 2.0]), (100, [0.1, 0.2, 0.3, 0.4]), (10, [-0.001, 0.0, 0.7]), (13, [-1e306])] + [(14, [0.25, 0.5])] * 40
 
 
 @pytest.mark.parametrize("blocks", [(32768, 512), (3, 2)])
 def test_top_k(spark, blocks):
     df = spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     w = df.select("vec_id", integer_weights(F.col("embedding")).alias("w"))
-    whole = [(i, [int(np.floor(min(max(256 * x, -(2**27)), 2**27))) for x in v]) for i, v in VECTORS if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in VECTORS if v is not None and all(x is not None and np.isfinite(256 * x) for x in v)]
+    long = lambda s: max(-(2**63), min(2**63 - 1, s))
     want = []
     for q, a in whole:
         if q % 50 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in whole if i != q)[:5]
+            scores = sorted((-long(sum(x * y for x, y in zip(a, b, strict=False))), i) for i, b in whole if i != q)[:5]
             want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
     got = top_k(w.where("vec_id % 50 = 0"), w, 5, *blocks)
     assert sorted(map(tuple, got.collect())) == sorted(want)
