@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dishflow.llm.chat_format import digests, format_conversations
+from dishflow.llm.chat_format import format_and_read_back
 from dishflow.llm.common import shuffle_partitions, table
 from dishflow.llm.exact_dedup import exact_dedup
 from dishflow.llm.mixing import mix
@@ -37,7 +37,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return digests(format_conversations(turns.unionByName(extra)))
+    return format_and_read_back(turns.unionByName(extra))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ SQL: dict[str, str] = {
     "op3_chat_format": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
-        u AS (SELECT *, 3 + length(role || text) + length(role || text) - length(regexp_replace(role || text, '[\x02\x03\x0E]', '', 'g')) AS chars FROM t),
+        u AS (SELECT *, 3 + length(role || text) + length(role || text) - length(regexp_replace(role || text, '[\x02\x03\x0E]', '', 'g')) + length(role) - length(replace(role, chr(10), '')) AS chars FROM t),
         g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
                      coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars,
                      count(*) FILTER (WHERE role = 'assistant') AS n_examples FROM u GROUP BY conv_id)
