@@ -8,8 +8,8 @@ position in training. Everything is DataFrame expressions; the running sums are
 after the sums of the parts before, so a source of any size is spread over many tasks.
 
 Defined cases: null text has size 0; the null source is a source of its own, sorted last; documents without words take
-part with 0 words; repeated rows are documents of their own; an empty table gives an empty result; a null doc_id is
-hashed like any other; further columns are ignored.
+part with 0 words; repeated rows are documents of their own; an empty table gives an empty result; rows are
+ordered by a hash of doc_id and text, so a null or repeated doc_id is like any other; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,10 +73,10 @@ def mix(docs: DataFrame, curriculum: Sequence[Sequence[float]] = CURRICULUM, sha
     for those who take whole documents only. share: words of the mix for each word of docs.
     """
     spark = docs.sparkSession
-    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), *keys))
+    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text", F.lit(7)).alias("h"), *keys))
     goals = materialise(targets(sized, curriculum, share, most))
     parts = max(shuffle_partitions(spark), -(-sized.count() // PART_ROWS))
-    hashed = sized.withColumn("h", F.xxhash64("doc_id", F.lit(7))).withColumn("part", F.floor(F.pmod("h", F.lit(1 << 40)) * parts / (1 << 40)).cast("int"))
+    hashed = sized.withColumn("part", F.floor(F.pmod("h", F.lit(1 << 40)) * parts / (1 << 40)).cast("int"))
     sums = hashed.groupBy("source", "part").agg(F.sum("size").alias("n"))
     before = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).alias("before"))
     within = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, 0)

@@ -100,7 +100,7 @@ def pack(piece_rows: DataFrame, capacity: int = 2048, rank_rows: int = RANK_ROWS
     plan = spark.createDataFrame(best_fit_plan(histogram, capacity), "plan_length long, rank_from long, rank_to long, first_sequence long, each long, first_offset long")
     # ranks within a length: numbers within hash parts of it, after the sizes of the parts before
     parts = max(shuffle_partitions(spark), -(-sum(histogram.values()) // rank_rows))
-    dealt = piece_rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
+    dealt = piece_rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     sizes = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")

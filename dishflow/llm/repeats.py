@@ -140,8 +140,8 @@ def repeated(texts: DataFrame, kind: Kind) -> DataFrame:
     blocks = materialise(fetched)
     counted = own.select("least", "path", "n", F.col("src.d").alias("d"))
     sized = blocks.select("least", "block", "hash", "path", "first", F.size("ws").alias("size")).join(counted, ["least", "path"])
-    alike = sized.groupBy("least", "block", "hash").agg(F.sum("n").alias("n"), F.min("d").alias("d"), F.min("path").alias("chosen"))
-    split = alike.groupBy("least", "block").agg(F.count(F.lit(1)).alias("forms"))
+    alike = materialise(sized.groupBy("least", "block", "hash").agg(F.sum("n").alias("n"), F.min("d").alias("d"), F.min("path").alias("chosen")))
+    split = materialise(alike.groupBy("least", "block").agg(F.count(F.lit(1)).alias("forms")))
     forms = materialise(alike.join(split, ["least", "block"]))
     whole = sized.drop("n", "d").join(forms.where("forms = 1 and n > 1"), ["least", "block", "hash"])
     whole = whole.select("least", "path", run(F.col("first"), F.col("first") + F.col("size"), F.col("n"), F.col("d")).alias("run"))
@@ -150,7 +150,7 @@ def repeated(texts: DataFrame, kind: Kind) -> DataFrame:
     stands = [F.when(F.col("path") == F.col("chosen"), F.col(c)).alias(c) for c in ("n", "d")]
     opened = blocks.join(open_, ["least", "block", "hash"]).select("least", "path", "first", *stands, F.posexplode("ws").alias("i", "w"))
     windows = materialise(opened.select("least", "path", (F.col("first") + F.col("i")).alias("place"), "w", "n", "d"))
-    same = windows.where("n is not null").groupBy("least", "w").agg(F.sum("n").alias("n"), F.min("d").alias("d")).where("n > 1")
+    same = materialise(windows.where("n is not null").groupBy("least", "w").agg(F.sum("n").alias("n"), F.min("d").alias("d")).where("n > 1"))
     place = F.col("place")
     single = windows.select("least", "path", "place", "w").join(same, ["least", "w"]).select("least", "path", run(place, place + 1, F.col("n"), F.col("d")).alias("run"))
     branching = whole.unionByName(single).groupBy("least", "path").agg(_joined(F.collect_list("run")).alias("runs"))

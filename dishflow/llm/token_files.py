@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,8 +100,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, w
 
     # ranges of doc_id with about as many rows each; their bounds come from the doc_id column alone
     parts = shuffle_partitions(spark)
-    cuts = own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
-    bounds = np.array(sorted(set(cuts or [])), np.int64)
+    cuts, known, rows = own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10 * parts), F.count("doc_id"), F.count(F.lit(1))).first()
+    bounds, times = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+    # a doc_id that is a bound several times, and rows without one, have several ranges
+    first = np.concatenate([[0], np.cumsum(times)])
+    nulls = max(1, -(-(rows - known) * parts // max(1, rows)))
+
+    def part_of(doc_id: int | None, frame: bytes) -> int:
+        if doc_id is None:
+            return int(first[-1]) + 1 + zlib.crc32(frame) % nulls
+        at = int(np.searchsorted(bounds, doc_id))
+        same = at < len(bounds) and bounds[at] == doc_id
+        return int(first[at]) + (zlib.crc32(frame) % int(times[at]) if same else 0)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3, dict_data=_prepared(dictionary), write_content_size=True)
@@ -109,7 +120,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, w
 
         def flush() -> pa.RecordBatch:
             ids, counts, frames = zip(*rows, strict=True)
-            part = [len(bounds) if x is None else int(np.searchsorted(bounds, x)) for x in ids]
+            part = [part_of(x, frame) for x, frame in zip(ids, frames, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["part", "doc_id", "n_tokens", "frame"])
 
         for doc_id, ids in encoded(batches, tokenizer, end_id, width):
@@ -141,8 +152,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, w
         if ids:
             yield flush()
 
-    rows = own.mapInArrow(compress, "part int, doc_id long, n_tokens long, frame binary")
-    dealt = rows.repartitionById(len(bounds) + 1, F.col("part")).drop("part")
+    framed = own.mapInArrow(compress, "part int, doc_id long, n_tokens long, frame binary")
+    dealt = framed.repartitionById(int(first[-1]) + 1 + nulls, F.col("part")).drop("part")
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "n_tokens", "frame")
     dealt.mapInArrow(assemble, "shard long, n_docs long, n_tokens long, data binary").write.option("compression", "uncompressed").parquet(f"{path}/shards")
 

@@ -96,6 +96,18 @@ def test_token_files(spark, odd, plain):
     assert read_token_files(spark, path).count() == len(rows)
 
 
+def test_hot_and_missing_ids_are_dealt_to_many_shards(spark, plain):
+    rows = [(5, f"text {i}") for i in range(200)] + [(None, f"none {i}") for i in range(150)] + [(i, f"own {i}") for i in range(60)]
+    path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, PATH, end_id=2)
+    got = token_digests(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is None, i))
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    want = sorted(zlib.crc32(x + np.uint32(2).tobytes()) for x in plain([t for _, t in rows]))
+    assert sorted(r.ids_crc32 for r in got) == want
+    assert max(r.n_docs for r in spark.read.parquet(f"{path}/shards").collect()) < 150
+
+
 def test_cut():
     assert cut(3, 2048) == [(0, 3)] and cut(2048, 2048) == [(0, 2048)] and cut(4100, 2048) == [(0, 4), (4, 2048), (2052, 2048)]
 
