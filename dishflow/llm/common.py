@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +27,35 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+_scopes: list[list[str]] = []  # paths that results are written to, for each result_of that is being made
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/dishflow-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def result_of(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make(), written; the tables that it has written on its way are deleted then."""
+    inner: list[str] = []
+    _scopes.append(inner)
+    try:
+        made = make()
+        _scopes.pop()
+        done = materialise(made)
+    finally:
+        if _scopes and _scopes[-1] is inner:
+            _scopes.pop()
+        for name in inner:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id BIGINT, text STRING (null: empty), whatever else df carries."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dishflow.llm.common import materialise, shuffle_partitions, table, text_rows
+from dishflow.llm.common import materialise, result_of, shuffle_partitions, table, text_rows
 from dishflow.llm.exact_dedup import exact_dedup, normalised
 from dishflow.llm.mixing import mix
 from dishflow.llm.near_copies import near_copies
@@ -55,23 +55,28 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of the smallest doc_id, null last. op1's three words and 3 of 64 bits are its own contract and don't bind the stage."""
     row = _free(docs, "row")
     numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
-    near = materialise(near_copies(numbered.select(F.col(row).alias("row"), "doc_id", "text")))
+    near = result_of(spark, lambda: near_copies(numbered.select(F.col(row).alias("row"), "doc_id", "text")))
     stays = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best")).select("best.row")
     gone = materialise(near.select("row").join(stays, "row", "left_anti").withColumnRenamed("row", row))
     return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes them, in the order of training."""
+    """Whole documents as often as the mix takes them, in the order of training. Few rows repeat both doc_id and text: only
+    those are numbered, to share out their uses; the texts of all others meet their uses in one shuffle."""
     text, nth = _free(docs, "text_hash"), _free(docs, "nth")
     rows = docs.withColumn(text, F.xxhash64("text"))
-    same = Window.partitionBy("doc_id", text).orderBy(F.lit(0))
-    mixed = mix(rows, keys=[text]).select(F.col("doc_id").alias("m_id"), F.col(text).alias("m_text"), F.filter("uses", lambda u: u["whole"]).alias("m_uses"))
-    mixed = mixed.withColumn("m_nth", F.row_number().over(Window.partitionBy("m_id", "m_text").orderBy("m_uses"))).where(F.size("m_uses") > 0)
-    rows = rows.withColumn(nth, F.row_number().over(same))
-    on = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col(text) == F.col("m_text")) & (F.col(nth) == F.col("m_nth"))
-    used = rows.join(mixed, on).withColumn("m_use", F.explode("m_uses"))
-    ordered = used.repartitionByRange(shuffle_partitions(spark), F.col("m_use.position"), "m_id").sortWithinPartitions(F.col("m_use.position"), "m_id")
+    mixed = result_of(spark, lambda: mix(rows, keys=[text]).select(F.col("doc_id").alias("m_id"), F.col(text).alias("m_text"), F.filter("uses", lambda u: u["whole"]).alias("m_uses")))
+    alike = materialise(mixed.groupBy("m_id", "m_text").count().where("count > 1").select(F.col("m_id").alias("a_id"), F.col("m_text").alias("a_text")))
+    repeated = F.col("m_id").eqNullSafe(F.col("a_id")) & (F.col("m_text") == F.col("a_text"))
+    on = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col(text) == F.col("m_text"))
+    once = rows.join(mixed.where(F.size("m_uses") > 0).join(alike, repeated, "left_anti"), on).select(*docs.columns, "m_uses")
+    many = mixed.join(alike, repeated, "left_semi").withColumn("m_nth", F.row_number().over(Window.partitionBy("m_id", "m_text").orderBy("m_uses")))
+    own = rows.join(alike, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col(text) == F.col("a_text")), "left_semi")
+    own = own.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.lit(0))))
+    shared = own.join(many, on & (F.col(nth) == F.col("m_nth"))).select(*docs.columns, "m_uses")
+    used = once.unionByName(shared).select("*", F.explode("m_uses").alias("m_use"))
+    ordered = used.repartitionByRange(shuffle_partitions(spark), F.col("m_use.position"), "doc_id").sortWithinPartitions(F.col("m_use.position"), "doc_id")
     return ordered.select(*docs.columns)
 
 

@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dishflow.llm.common import result_of
 from dishflow.llm.repeats import Kind, merged, packed_texts, repeated, spans
 
 ANCHOR = 20
@@ -30,7 +31,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = 50, anchor: int = ANCH
     """doc_id, n_words, n_removed, spans (words removed), kept (binary: what is left, joined by single spaces)."""
     kind = Kind("words", window, anchor)
     texts = packed_texts(docs)
-    earlier = spans(repeated(texts, kind), lambda r: r["d"] < F.col("d"), kind)
+    earlier = result_of(docs.sparkSession, lambda: spans(repeated(texts, kind), lambda r: r["d"] < F.col("d"), kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()

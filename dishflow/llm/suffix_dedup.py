@@ -19,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from dishflow.llm.common import result_of
 from dishflow.llm.repeats import Kind, merged, packed_texts, repeated, spans
 
 ANCHOR = 256
@@ -29,7 +30,7 @@ def drop_repeated_bytes(docs: DataFrame, window: int = 400, anchor: int = ANCHOR
     """doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes), kept (binary: the bytes that are left)."""
     kind = Kind("bytes", window, anchor)
     texts = packed_texts(docs)
-    elsewhere = spans(repeated(texts, kind), lambda r: r["n"] > 1, kind)
+    elsewhere = result_of(docs.sparkSession, lambda: spans(repeated(texts, kind), lambda r: r["n"] > 1, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
