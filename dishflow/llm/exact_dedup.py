@@ -147,10 +147,11 @@ def _texts(digest: Callable[[bytes], bytes]):
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = 65536, owner_hashes: int = 500_000, broadcast_digests: int = 500_000, digest: Callable[[bytes], bytes] = sha256
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = 65536, owner_hashes: int = 500_000, broadcast_digests: int = 500_000, broadcast_bytes: int = 32_000_000, digest: Callable[[bytes], bytes] = sha256
 ) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs. Up to broadcast_digests digests of
-    suspects (32 bytes each) are broadcast to where the texts are; more of them meet the texts in a shuffle."""
+    suspects (32 bytes each) and groups, and broadcast_bytes of their texts, are broadcast to the rows of suspects; more of
+    them meet the rows in a shuffle, whose large partitions Spark splits."""
     spark = docs.sparkSession
     own = documents(docs, id_col, text_col)
     owners = max(shuffle_partitions(spark), -(-docs.count() // owner_hashes))
@@ -163,11 +164,15 @@ def exact_dedup(
     # written first: Spark splits large partitions, as a large group makes, only of joins of plain inputs
     suspects = materialise(own.mapInArrow(_texts(digest), "doc_id long, digest binary, bytes binary").join(few, "digest", "left_semi"))
     chosen = materialise(suspects.groupBy("digest").agg(F.min("bytes").alias("chosen")))
+    texts = chosen.agg(F.sum(F.octet_length("chosen") + 64)).first()[0] or 0
+    chosen = F.broadcast(chosen) if texts <= broadcast_bytes else chosen
     # null: the bytes are those of the chosen text; else they stand for themselves
     form = F.when(F.col("bytes") != F.col("chosen"), F.col("bytes"))
     # equal rows of one doc_id are counted, so that rows need no names of their own
     members = materialise(suspects.join(chosen, "digest").select("doc_id", "digest", form.alias("form")).groupBy("digest", "form", "doc_id").agg(F.count(F.lit(1)).alias("n")))
     groups = materialise(members.groupBy("digest", "form").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size")).select(F.col("digest").alias("of"), F.col("form").alias("as"), "keep_id", "group_size"))
+    n_groups, other = groups.agg(F.count(F.lit(1)), F.sum(F.octet_length("as"))).first()
+    groups = F.broadcast(groups) if n_groups <= broadcast_digests and (other or 0) <= broadcast_bytes else groups
     verified = members.join(groups, (F.col("digest") == F.col("of")) & F.col("form").eqNullSafe(F.col("as"))).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
     hexed = F.lower(F.hex("digest")).alias("text_sha256")

@@ -16,7 +16,7 @@ import xxhash
 
 U = np.uint64
 STEP = 1 << 18  # windows that are hashed at once; longer texts go in overlapping steps
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 #: Odd multipliers of the two polynomial hashes, and of the mixing step.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MIX = U(0xFF51AFD7ED558CCD)

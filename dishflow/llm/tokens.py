@@ -19,8 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces of a cache generation: what isn't met while so many others come is forgotten. Longer pieces aren't kept.
-CACHE_PIECES, CACHED_CHARS = 400_000, 64
-BATCH_BYTES = 16_000_000
+CACHE_PIECES, CACHED_CHARS = 200_000, 64
+BATCH_BYTES = 6_000_000
 WORDS = 250  # that the library gets as one text: calls word by word cost more than the words
 #: RE2: what str.isspace takes for white space, which includes all that any tokenizer does.
 _WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -205,4 +205,5 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: in
         while at < len(keys):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
             yield from zip(keys[at:to], own.encode(texts.slice(at, to - at), end_id, kind), strict=True)
+            pa.default_memory_pool().release_unused()  # a worker goes on to other stages
             at = to

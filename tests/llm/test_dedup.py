@@ -55,7 +55,7 @@ def test_equal_digests_are_not_trusted(odd, broadcast):
     for ids in groups.values():
         first = min((i for i in ids if i is not None), default=None)
         want += [(i, first, len(ids), k == ids.index(first)) for k, i in enumerate(ids)]
-    got = exact_dedup(odd, digest=colliding, broadcast_digests=broadcast).select("doc_id", "keep_id", "group_size", "kept").collect()
+    got = exact_dedup(odd, digest=colliding, broadcast_digests=broadcast, broadcast_bytes=broadcast).select("doc_id", "keep_id", "group_size", "kept").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
