@@ -7,7 +7,7 @@
    completed exactly: a node's shingles are put in a fixed order, and it keeps the head of them: of n shingles all but
    ceil(0.8 n) - 1. Two texts of similarity 0.8 always have a shingle of their heads in common, whatever the order;
    shingles that a sample shows to be frequent come last, so that few others meet. Nodes that share a head shingle are a
-   bucket. Members of large buckets are compared with one of them at first; after that only members of different groups
+   bucket. Members of large buckets are compared with a few of them at first; after that only members of different groups
    are compared. A large group thus gives few pairs more than it has members. Sizes, places in the order, parity bits and
    the number of shared buckets rule out pairs that cannot be similar enough (bounds, not estimates); the others are
    verified like the first.
@@ -30,6 +30,7 @@ from dishflow.llm.simhash_dedup import fingerprints, links
 
 LEAST = (4, 5)  # similarity as a fraction: comparisons are between integers
 SAMPLE, OFTEN, LISTED = 8, 4, 1 << 20  # one node of so many is looked at for frequent shingles; how often; how many
+ROUNDS, CENTRES = 3, 8  # members of a large bucket that all others are compared with in each of the first rounds
 SMALL = 8  # buckets up to this size are compared vectorised over all of them
 PAIRS = 1 << 20  # comparisons that are held at once
 
@@ -115,12 +116,14 @@ HEAD = ["token", "node", "size", "place", "bits"]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets of two or more."""
+    """Rows of buckets of two or more, and whether there are more than SMALL."""
     for cols in _whole_buckets(batches, HEAD):
-        same = cols[0][1:] == cols[0][:-1]
-        keep = np.append(same, False) | np.insert(same, 0, False)
+        cuts = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
+        sizes = np.diff(np.append(cuts, len(cols[0])))
+        size = np.repeat(sizes, sizes)
+        keep = size > 1
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=HEAD)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in cols), pa.array(size[keep] > SMALL)], names=[*HEAD, "crowded"])
 
 
 def _possible(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -144,7 +147,7 @@ def _needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 def _pairs(stars: bool):
     """Over rows sorted by token: a, b to compare, need (how many buckets must name them). stars: each member of a large
-    bucket with the first one; else all pairs across components."""
+    bucket with its first few; else all pairs across components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _whole_buckets(batches, [*HEAD, "root"]):
@@ -167,7 +170,7 @@ def _pairs(stars: bool):
             for s, e in zip(cuts.tolist(), ends.tolist(), strict=True):
                 if e - s <= SMALL or (root[s:e] == root[s]).all():
                     continue
-                end = s + 1
+                end = min(e, s + CENTRES)
                 if not stars:
                     # component by component, the largest one last: its members meet all others as partners
                     _, of, sizes = np.unique(root[s:e], return_inverse=True, return_counts=True)
@@ -196,11 +199,15 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def simhash_pairs(nodes: DataFrame, words: int) -> DataFrame:
-    """a, b: nodes (node, text) whose fingerprints link, as a spanning forest of all links of up to 3 bits."""
+    """a, b: nodes (node, text) whose fingerprints link at up to 3 bits: each one's first neighbour in a random order, and
+    equal ones with the first of them. So pairs are fewer than nodes, however large a group; the exact search goes on."""
     rows = materialise(fingerprints(nodes.select(F.col("node").alias("doc_id"), "text"), words))
     firsts = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     of = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}"))
-    near = links(firsts, 3).join(of("a"), "a").join(of("b"), "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    near = links(firsts, 3).join(of("a"), "a").join(of("b"), "b").select("node_a", "node_b")
+    both = near.unionByName(near.select(F.col("node_b").alias("node_a"), F.col("node_a").alias("node_b")))
+    best = both.groupBy("node_a").agg(F.min(F.struct(F.xxhash64("node_b").alias("h"), "node_b")).alias("best")).select("node_a", F.col("best.node_b").alias("node_b"))
+    near = best.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
     equal = rows.join(firsts, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     return near.unionByName(equal).distinct()
 
@@ -220,7 +227,7 @@ def near_copies(rows: DataFrame, words: int = 5) -> DataFrame:
     token, count = (seen.column(c).to_numpy() for c in ("token", "count"))
     order = np.argsort(token)
     heads = own.mapInArrow(_heads(words, token[order], count[order]), "token long, node long, size int, place int, bits long")
-    shared = materialise(heads.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, node long, size int, place int, bits long"))
+    shared = materialise(heads.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, node long, size int, place int, bits long, crowded boolean"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -228,19 +235,17 @@ def near_copies(rows: DataFrame, words: int = 5) -> DataFrame:
         one, two = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
         return materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(_similar, "a long, b long"))
 
-    def grouped(found: DataFrame) -> DataFrame:
-        roots = connected_components(found)
-        return materialise(shared.join(roots, "node", "left").select(*HEAD, F.coalesce("root", "node").alias("root")))
-
-    def compared(members: DataFrame, stars: bool) -> DataFrame:
-        # the first member of a bucket is the same in all buckets of a group, so that their pairs are few
-        dealt = members.repartition(n, "token").sortWithinPartitions("token", F.xxhash64("node"))
-        named = dealt.mapInArrow(_pairs(stars), "a long, b long, need long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-        # a star counts only the buckets that its first member leads: what it misses is compared later
+    def compared(members: DataFrame, found: DataFrame, star: int | None) -> DataFrame:
+        rooted = members.join(connected_components(found), "node", "left").select(*HEAD, F.coalesce("root", "node").alias("root"))
+        # the first members of a bucket are the same in most buckets of a group, so that their pairs are few
+        dealt = rooted.repartition(n, "token").sortWithinPartitions("token", F.xxhash64("node", F.lit(star or 0)))
+        named = dealt.mapInArrow(_pairs(star is not None), "a long, b long, need long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+        # a star counts only the buckets that its centre leads: what it misses is compared later
         return verified(materialise(named.where("n >= need").select("a", "b")))
 
     found = verified(materialise(simhash_pairs(own, words)))
-    for stars in (True, False):
-        found = found.unionByName(compared(grouped(found), stars))
+    for star in range(ROUNDS):
+        found = found.unionByName(compared(shared.where("crowded"), found, star))
+    found = found.unionByName(compared(shared, found, None))
     groups = materialise(nodes.join(connected_components(found), "node", "left").where("root is not null or copies > 1").select("digest", F.coalesce("root", "node").alias("root")))
     return digests.join(groups, "digest").select("row", "doc_id", "root")
