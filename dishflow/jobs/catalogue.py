@@ -139,6 +139,16 @@ def packet_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.blocks(packet_rows(spark, sf_dir), _BLOCK, _FIRST).select("block", "slot", "b")
 
 
+@query(f"""WITH e AS (SELECT event_id // 3 AS counter, event_id, (round(value * 100)::BIGINT) % 256 AS b FROM events WHERE event_id // 3 % 97 <> 13 AND event_id // 3 >= {_FIRST}),
+    o AS (SELECT (counter - {_FIRST}) // {_BLOCK} AS block, (counter - {_FIRST}) % {_BLOCK} AS slot, arg_max(b, event_id) AS b FROM e GROUP BY 1, 2)
+    SELECT d.block, r.slot::BIGINT AS slot, coalesce(o.b, 0)::BIGINT AS b FROM (SELECT DISTINCT block FROM o) d CROSS JOIN range({_BLOCK}) r(slot) LEFT JOIN o ON o.block = d.block AND o.slot = r.slot""")
+def packet_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every counter comes three times; the packet that arrives last stays."""
+    x = F.round(F.col("value") * 100).cast("long") % 256
+    rows = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 3).cast("long").alias("counter"), F.col("event_id").alias("at"), x.alias("b")).where("counter % 97 <> 13")
+    return packets.blocks(rows, _BLOCK, _FIRST, arrival="at").select("block", "slot", "b")
+
+
 @query(f"""WITH {S_PACKETS}, e AS (SELECT min(counter) AS a, max(counter) AS z FROM p)
     SELECT r.c AS counter, coalesce(p.b, 0)::BIGINT AS b FROM e, range((SELECT a FROM e), (SELECT z FROM e) + 1) r(c) LEFT JOIN p ON p.counter = r.c""")
 def packet_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +203,7 @@ def _register_unpack() -> None:
         **{f"unpack_u{n}": (n, "", f"SELECT doc_id, 0 AS stream, i * {8 // n} + j AS p, (v >> (8 - {n} * (j + 1))::INT) & {(1 << n) - 1} AS v FROM b, range({8 // n}) t(j)", "") for n in (1, 2, 4)},
         "unpack_i8": (-8, "", "SELECT doc_id, 0 AS stream, i AS p, v FROM c", signed),
         "unpack_i16": (-16, "", "SELECT doc_id, 0 AS stream, p, CASE WHEN u >= 32768 THEN u - 65536 ELSE u END AS v FROM e WHERE c = 2", i16),
+        "unpack_u16": (16, "", "SELECT doc_id, 0 AS stream, p, u AS v FROM e WHERE c = 2", i16),
         "deinterleave_1212": (8, "1212", "SELECT b.doc_id, i % 2 AS stream, i // 2 AS p, v FROM b JOIN m USING (doc_id) WHERE i < n // 2 * 2", signed),
         "deinterleave_1122": (-8, "1122", "SELECT c.doc_id, i % 4 // 2 AS stream, 2 * (i // 4) + i % 2 AS p, v FROM c JOIN m USING (doc_id) WHERE i < n // 4 * 4", signed),
         "deinterleave_word2": (-8, "word2", "SELECT c.doc_id, i % 8 // 4 AS stream, 4 * (i // 8) + i % 4 AS p, v FROM c JOIN m USING (doc_id) WHERE i < n // 8 * 8", signed),
@@ -289,6 +300,13 @@ def rfi_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("seg", "k", r6(F.col("re")).alias("re"), r6(F.col("im")).alias("im"))
 
 
+@query(f"""WITH {S_SPECTRUM}, a AS (SELECT *, re * re + im * im > {CONFIG.average_threshold} * avg(re * re + im * im) OVER (PARTITION BY seg) AS hit FROM f)
+    SELECT seg, k::BIGINT AS k, CASE WHEN hit THEN 0 ELSE round(re, 4) + 0.0 END AS re, CASE WHEN hit THEN 0 ELSE round(im, 4) + 0.0 END AS im FROM a""")
+def rfi_average_unscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = rfi.zap_average(spectrum(spark, sf_dir), CONFIG.average_threshold)
+    return z.select("seg", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
 @query(f"""WITH {S_SPECTRUM} SELECT seg, k::BIGINT AS k, CASE WHEN {" OR ".join(f"k BETWEEN {a} AND {b}" for a, b in _ZAP)} THEN 0 ELSE round(re, 4) + 0.0 END AS re FROM f""")
 def rfi_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = rfi.zap_ranges(spectrum(spark, sf_dir), _ZAP)
@@ -494,7 +512,7 @@ def capture_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each segment that a continuous recording keeps, and where they begin in the file."""
     n = samples(spark, sf_dir, N).groupBy("seg").agg((F.count(F.lit(1)) - 64).alias("bytes_kept")).where("bytes_kept > 0")
-    return n.withColumn("byte_offset", F.sum("bytes_kept").over(Window.orderBy("seg")) - F.col("bytes_kept"))
+    return packets.running_totals(n, ["bytes_kept"], "seg").select("seg", "bytes_kept", (F.col("upto_bytes_kept") - F.col("bytes_kept")).alias("byte_offset"))
 
 
 @query("SELECT event_id, coalesce(nullif(user_id, 0), epoch_us(ts))::VARCHAR || '.bin' AS file_name FROM events WHERE value > 150")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,7 +19,11 @@ from dishflow.streaming.blocks import assembled, captured
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="dishflow-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
+        base = "file://" + tempfile.mkdtemp(prefix="dishflow-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
@@ -79,6 +84,8 @@ SQL: dict[str, str] = {
     "stream_blocks": f"""WITH {S_PACKETS}, q AS (SELECT counter % {_STREAMS} AS stream_id, counter // {_STREAMS} - {_FIRST} AS c, b FROM p WHERE counter // {_STREAMS} >= {_FIRST}),
         o AS (SELECT stream_id, c // {_SIZE} AS block, count(*) AS received, sum(b)::BIGINT AS total, sum((c % {_SIZE} + 1) * b)::BIGINT AS checksum FROM q GROUP BY 1, 2)
         SELECT * FROM o QUALIFY block < max(block) OVER (PARTITION BY stream_id)""",
+    "stream_windows": """WITH e AS (SELECT epoch_us(ts) AS t, event_type, value FROM events), w AS (SELECT t // 300000000 * 300000000 AS start_us, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS v FROM e GROUP BY 1, 2)
+        SELECT start_us, event_type, n, v FROM w WHERE start_us + 300000000 <= (SELECT max(t) FROM e) - 600000000""",
     "stream_pulse_search": BATCH_SQL["pulse_search"],
     "stream_capture": f"""WITH e AS (SELECT event_id, event_id % {_STREAMS} AS s, epoch_us(ts) AS ts, value > 150 AS has_signal FROM events)
         SELECT event_id FROM e WHERE EXISTS (SELECT 1 FROM e p WHERE p.has_signal AND p.s = e.s AND abs(p.ts - e.ts) < {_WINDOW})""",

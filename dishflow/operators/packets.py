@@ -52,10 +52,24 @@ def gap_filled(df: DataFrame, by: list[str], value: str, span: int = 4096) -> Da
     return df.select(*by, "counter", value).unionByName(zeros)
 
 
-def blocks(df: DataFrame, size: int, first: int, by: list[str] = [], value: str = "b") -> DataFrame:  # noqa: B006
+def running_totals(df: DataFrame, values: list[str], order: str, span: int = 4096) -> DataFrame:
+    """df with upto_<value> for each of values: sums over rows up to this one by `order` (a whole number). Sums run within
+    spans of `order`; what comes before a span is added to it, so only one row a span is summed in one task."""
+    spanned = df.withColumn("span", F.floor(F.col(order) / span).cast("long"))
+    sums = spanned.groupBy("span").agg(*(F.sum(v).alias(v) for v in values))
+    earlier = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("span", *(F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"before_{v}") for v in values))
+    inner = Window.partitionBy("span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    within = spanned.withColumns({f"upto_{v}": F.sum(v).over(inner) for v in values}).join(before, "span")
+    return within.select(*df.columns, *((F.col(f"upto_{v}") + F.col(f"before_{v}")).alias(f"upto_{v}") for v in values))
+
+
+def blocks(df: DataFrame, size: int, first: int, by: list[str] = [], value: str = "b", arrival: str | None = None) -> DataFrame:  # noqa: B006
     """by, block, slot, value: every slot of each block that has a packet. Packets before `first` are stale and dropped, of
-    equal counters the last value stays, slots without a packet are 0. Only blocks that occur are expanded."""
-    own = df.where(F.col("counter") >= first).groupBy(*by, "counter").agg(F.max(value).alias(value))
+    equal counters that of the last `arrival` stays (without such a column: the largest value, as rows have no order), slots
+    without a packet are 0. Only blocks that occur are expanded."""
+    last = F.max_by(value, arrival) if arrival else F.max(value)
+    own = df.where(F.col("counter") >= first).groupBy(*by, "counter").agg(last.alias(value))
     placed = own.withColumn("block", F.floor((F.col("counter") - first) / size).cast("long")).withColumn("slot", (F.col("counter") - first) % size)
     slots = placed.select(*by, "block").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))))
     return slots.join(placed.drop("counter"), [*by, "block", "slot"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
@@ -64,6 +78,5 @@ def blocks(df: DataFrame, size: int, first: int, by: list[str] = [], value: str
 def loss_statistics(df: DataFrame, size: int, first: int) -> DataFrame:
     """block, received, lost, rate, total_rate: of distinct counters in each block, and of all blocks up to it."""
     got = df.where(F.col("counter") >= first).groupBy(F.floor((F.col("counter") - first) / size).cast("long").alias("block")).agg(F.countDistinct("counter").alias("received"))
-    upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    lost = got.withColumn("lost", size - F.col("received"))
-    return lost.withColumn("rate", F.col("lost") / size).withColumn("total_rate", F.sum("lost").over(upto) / F.sum(F.lit(size)).over(upto))
+    lost = running_totals(got.withColumn("lost", size - F.col("received")).withColumn("size", F.lit(size).cast("long")), ["lost", "size"], "block")
+    return lost.select("block", "received", "lost", (F.col("lost") / size).alias("rate"), (F.col("upto_lost") / F.col("upto_size")).alias("total_rate"))
