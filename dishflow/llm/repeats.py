@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dishflow.llm.common import documents, materialise, text_rows
+from dishflow.llm.common import documents, materialise, result_of, text_rows
 from dishflow.llm.paths import TOKENS, U, Hashes, mixed, paths
 
 LAST_ID = (1 << 63) - 1  # stands for a null doc_id: no document is after it
@@ -124,10 +124,14 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 def repeated(texts: DataFrame, kind: Kind) -> DataFrame:
     """d, t (row), start, runs: for each occurrence of a path that shares windows, the runs (from, to, n, d) of its windows,
     with their number of occurrences in texts and the smallest document among them. start: the path's first window."""
-    listed = materialise(texts.select("d", "t", "z").mapInArrow(_listed(kind), "least long, path long, d long, t long, start long"))
-    # what is joined with many rows of a key is written first: Spark splits large partitions only of joins of plain inputs
-    twice = materialise(listed.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("least"))
-    some = materialise(listed.join(twice, "least", "left_semi"))
+
+    def recurring() -> DataFrame:
+        listed = materialise(texts.select("d", "t", "z").mapInArrow(_listed(kind), "least long, path long, d long, t long, start long"))
+        # what is joined with many rows of a key is written first: Spark splits large partitions only of joins of plain inputs
+        twice = materialise(listed.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("least"))
+        return listed.join(twice, "least", "left_semi")
+
+    some = result_of(texts.sparkSession, recurring)
     own = materialise(some.groupBy("least", "path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "start")).alias("src")))
     branches = materialise(own.groupBy("least").agg(F.count(F.lit(1)).alias("paths")))
     known = own.join(branches, "least").select("least", "path", "n", "src.d", "src.t", "src.start", "paths")
