@@ -2,7 +2,7 @@
 
 A byte-level BPE never merges across a pre-token. A space or line end after a character that is no white space always
 begins one, and so does ASCII punctuation after a letter or digit. So texts are cut there, in Arrow, and the library
-encodes each different piece once for each worker; pieces are looked up once for each batch, and ids are gathered for
+encodes each different piece once for each task; pieces are looked up once for each batch, and ids are gathered for
 whole batches. Texts that can't be cut so (control strings of the tokenizer, leading white space) go to the library whole.
 """
 
@@ -198,12 +198,15 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: in
         raise ValueError(f"ids up to {max(own.top, end_id)} don't fit into {width} bytes")
     if end_id >> 8 * own.kind.itemsize:
         raise ValueError("the end id must be of the size of the vocabulary's")
-    for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
-        at = 0
-        while at < len(keys):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
-            yield from zip(keys[at:to], own.encode(texts.slice(at, to - at), end_id, kind), strict=True)
-            pa.default_memory_pool().release_unused()  # a worker goes on to other stages
-            at = to
+    try:
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+            at = 0
+            while at < len(keys):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
+                yield from zip(keys[at:to], own.encode(texts.slice(at, to - at), end_id, kind), strict=True)
+                pa.default_memory_pool().release_unused()
+                at = to
+    finally:  # a worker goes on to other stages, which need its memory
+        own.known, own.before = {}, {}
