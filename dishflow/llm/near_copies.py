@@ -8,9 +8,9 @@
    ceil(0.8 n) - 1. Two texts of similarity 0.8 always have a shingle of their heads in common, whatever the order;
    shingles that a sample shows to be frequent come last, so that few others meet. Nodes that share a head shingle are a
    bucket. Members of large buckets are compared with a few of them at first; after that only members of different groups
-   are compared. A large group thus gives few pairs more than it has members. Sizes, places in the order, parity bits and
-   the number of shared buckets rule out pairs that cannot be similar enough (bounds, not estimates); the others are
-   verified like the first.
+   are compared. A large group thus gives few pairs more than it has members. Sizes, places in the order, parity bits (512
+   of them in large buckets) and the number of shared buckets rule out pairs that cannot be similar enough (bounds, not
+   estimates); the others are verified like the first.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ SAMPLE, OFTEN, LISTED = 8, 4, 1 << 20  # one node of so many is looked at for fr
 ROUNDS, CENTRES = 3, 8  # members of a large bucket that all others are compared with in each of the first rounds
 SMALL = 8  # buckets up to this size are compared vectorised over all of them
 PAIRS = 1 << 20  # comparisons that are held at once
+SIGN, SIGNED = 512, 1 << 16  # parity bits of a node, kept in large buckets; comparisons of them that are held at once
+HEAD = ["token", "node", "size", "place", "bits"]
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -69,16 +71,16 @@ def _sampled(words: int):
     return run
 
 
-def _heads(words: int, often: np.ndarray, rank: np.ndarray):
-    """Head shingles: token, node, size, place, bits (bit i: whether the number of shingles that end in i is odd)."""
+def _marked(words: int, often: np.ndarray, rank: np.ndarray):
+    """node, size, sign (bit i: whether the number of shingles that end in i is odd), head (its shingles, in order)."""
     num, den = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 some = batch.slice(i, 500)
-                cols: list[list[np.ndarray]] = [[], [], [], [], []]
-                for node, text in zip(some.column(0).to_numpy(), text_rows(some), strict=True):
+                sizes, signs, heads = [], [], []
+                for text in text_rows(some):
                     own = shingles(text, words)
                     n = len(own)
                     if len(often):
@@ -86,21 +88,32 @@ def _heads(words: int, often: np.ndarray, rank: np.ndarray):
                         order = np.argsort(np.where(often[at] == own, rank[at], 0), kind="stable")
                     else:
                         order = np.arange(n)
-                    head = own[order[: n - (num * n + den - 1) // den + 1]]
-                    bits = np.packbits((np.bincount(own & 63, minlength=64) & 1).astype(np.uint8), bitorder="little").view(np.int64)[0]
-                    k = len(head)
-                    for col, x in zip(cols, (head, np.full(k, node), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), np.full(k, bits)), strict=True):
-                        col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["token", "node", "size", "place", "bits"])
+                    sizes.append(n)
+                    signs.append(np.packbits((np.bincount(own & (SIGN - 1), minlength=SIGN) & 1).astype(np.uint8), bitorder="little").tobytes())
+                    heads.append(own[order[: n - (num * n + den - 1) // den + 1]].tobytes())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(heads, pa.binary())], names=["node", "size", "sign", "head"])
 
     return run
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Head shingles: token, node, size, place, bits (the sign, folded to 64 bits)."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            node, size, sign, head = batch.slice(i, 500).columns
+            own = [np.frombuffer(x.as_py(), np.int64) for x in head]
+            k = np.array([len(x) for x in own])
+            bits = np.bitwise_xor.reduce(_words(sign.to_pylist()).view(np.int64), axis=1)
+            place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            cols = (np.concatenate(own), np.repeat(node.to_numpy(), k), np.repeat(size.to_numpy(), k), place.astype(np.int32), np.repeat(bits, k))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=HEAD)
+
+
 def _whole_buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
     """Columns of rows sorted by the first one; a value of it is never split."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        cols = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names]
+        cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
         if not len(cols[0]):
             continue
         last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -112,7 +125,8 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Itera
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-HEAD = ["token", "node", "size", "place", "bits"]
+def _words(signs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signs), np.uint64).reshape(-1, SIGN // 64)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,19 +159,34 @@ def _needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.maximum(1, (num * (n + m) + num + den - 1) // (num + den) - tails)
 
 
+def _alike(i: np.ndarray, j: np.ndarray, size: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether pairs can be similar enough: no more bits of their signs differ than shingles may."""
+    num, den = LEAST
+    ok = np.empty(len(i), bool)
+    for f in range(0, len(i), SIGNED):
+        a, b = i[f : f + SIGNED], j[f : f + SIGNED]
+        both = size[a].astype(np.int64) + size[b]
+        apart = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+        ok[f : f + SIGNED] = (both - apart) * (num + den) >= 2 * num * both
+    return ok
+
+
 def _pairs(stars: bool):
     """Over rows sorted by token: a, b to compare, need (how many buckets must name them). stars: each member of a large
     bucket with its first few; else all pairs across components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _whole_buckets(batches, [*HEAD, "root"]):
-            token, node, size, place, bits, root = (c.copy() for c in cols)
+        for cols in _whole_buckets(batches, [*HEAD, "root", "sign"]):
+            token, node, size, place, bits, root, sign = (c.copy() for c in cols)
 
-            def batch_of(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            def batch_of(i: np.ndarray, j: np.ndarray, words: np.ndarray | None = None, s: int = 0) -> pa.RecordBatch:
                 ok = root[i] != root[j]
                 i, j = i[ok], j[ok]
                 ok = _possible([size[i], place[i], bits[i]], [size[j], place[j], bits[j]])
                 i, j = i[ok], j[ok]
+                if words is not None:
+                    ok = _alike(i - s, j - s, size[s:], words)
+                    i, j = i[ok], j[ok]
                 return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(_needed(size[i], size[j]))], names=["a", "b", "need"])
 
             cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
@@ -175,13 +204,14 @@ def _pairs(stars: bool):
                     # component by component, the largest one last: its members meet all others as partners
                     _, of, sizes = np.unique(root[s:e], return_inverse=True, return_counts=True)
                     order = s + np.lexsort((of, sizes[of]))
-                    for c in (node, size, place, bits, root):
+                    for c in (node, size, place, bits, root, sign):
                         c[s:e] = c[order]
                     end = e - int(sizes.max())
                 step = max(1, PAIRS // (e - s))
+                words = _words(sign[s:e].tolist())
                 for f in range(s, end, step):
                     i, j = (x.ravel() for x in np.broadcast_arrays(np.arange(f, min(end, f + step))[:, None], np.arange(f + 1, e)))
-                    yield batch_of(i[i < j], j[i < j])
+                    yield batch_of(i[i < j], j[i < j], words, s)
 
     return run
 
@@ -226,7 +256,8 @@ def near_copies(rows: DataFrame, words: int = 5) -> DataFrame:
     seen = counts.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(LISTED).toArrow()
     token, count = (seen.column(c).to_numpy() for c in ("token", "count"))
     order = np.argsort(token)
-    heads = own.mapInArrow(_heads(words, token[order], count[order]), "token long, node long, size int, place int, bits long")
+    marked = materialise(own.mapInArrow(_marked(words, token[order], count[order]), "node long, size int, sign binary, head binary"))
+    heads = marked.select("node", "size", "sign", "head").mapInArrow(_heads, "token long, node long, size int, place int, bits long")
     shared = materialise(heads.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, node long, size int, place int, bits long, crowded boolean"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -236,7 +267,8 @@ def near_copies(rows: DataFrame, words: int = 5) -> DataFrame:
         return materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(_similar, "a long, b long"))
 
     def compared(members: DataFrame, found: DataFrame, star: int | None) -> DataFrame:
-        rooted = members.join(connected_components(found), "node", "left").select(*HEAD, F.coalesce("root", "node").alias("root"))
+        roots = marked.select("node", "sign").join(connected_components(found), "node", "left").select("node", "sign", F.coalesce("root", "node").alias("root"))
+        rooted = members.join(roots, "node").select(*HEAD, "root", F.when(F.col("crowded"), F.col("sign")).alias("sign"))
         # the first members of a bucket are the same in most buckets of a group, so that their pairs are few
         dealt = rooted.repartition(n, "token").sortWithinPartitions("token", F.xxhash64("node", F.lit(star or 0)))
         named = dealt.mapInArrow(_pairs(star is not None), "a long, b long, need long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
