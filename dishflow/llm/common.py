@@ -6,11 +6,14 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_BYTES = 5_500_000  # below what the token encoder takes at once, so that it gets whole batches
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,12 +33,25 @@ def scratch_dir(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []  # paths that results are written to, for each result_of that is being made
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int = ARROW_BYTES) -> Iterator[None]:
+    """What runs within sends Python workers batches of about that many bytes: both sides hold several copies of one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/dishflow-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    with arrow_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

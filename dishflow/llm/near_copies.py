@@ -32,7 +32,7 @@ LEAST = (4, 5)  # similarity as a fraction: comparisons are between integers
 SAMPLE, OFTEN, LISTED = 8, 4, 1 << 20  # one node of so many is looked at for frequent shingles; how often; how many
 ROUNDS, CENTRES = 3, 8  # members of a large bucket that all others are compared with in each of the first rounds
 SMALL = 8  # buckets up to this size are compared vectorised over all of them
-PAIRS = 1 << 20  # comparisons that are held at once
+PAIRS = 1 << 18  # comparisons that are held at once
 SIGN, SIGNED = 512, 1 << 16  # parity bits of a node, kept in large buckets; comparisons of them that are held at once
 HEAD = ["token", "node", "size", "place", "bits"]
 
