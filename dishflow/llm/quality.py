@@ -75,13 +75,14 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Means and Cholesky factors of both classes, over standardised statistics."""
+    """Means and Cholesky factors of both classes, over standardised statistics, and the factors' inverses."""
 
     centre: np.ndarray
     scale: np.ndarray
     prior: np.ndarray  # of classes 0 and 1
     mean: np.ndarray | None = None
     factor: np.ndarray | None = None
+    whiten: np.ndarray | None = None
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.mean is None:
@@ -89,8 +90,8 @@ class Model:
         z = standardised(x, self.centre, self.scale)
         density = []
         for c in (0, 1):
-            white = np.linalg.solve(self.factor[c], (z - self.mean[c]).T)
-            density.append(np.log(self.prior[c]) - np.log(np.diag(self.factor[c])).sum() - (white**2).sum(axis=0) / 2)
+            white = (z - self.mean[c]) @ self.whiten[c].T
+            density.append(np.log(self.prior[c]) - np.log(np.diag(self.factor[c])).sum() - (white**2).sum(axis=1) / 2)
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
@@ -146,7 +147,8 @@ def fit(labelled: DataFrame, pooled: float = 0.05, diagonal: float = 0.02, ridge
         mixed = (1 - pooled) * own + pooled * common
         mixed = (1 - diagonal) * mixed + diagonal * np.diag(np.diag(mixed)) + ridge * np.eye(d)
         factors.append(np.linalg.cholesky(mixed))
-    return Model(centre, scale, prior, means, np.array(factors))
+    # the ridge keeps the factors well conditioned, so that their inverses are as good as a solve for each batch
+    return Model(centre, scale, prior, means, np.array(factors), np.linalg.inv(np.array(factors)))
 
 
 def held_out(doc_id: Column) -> Column:

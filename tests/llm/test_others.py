@@ -123,6 +123,60 @@ def test_quality(spark):
     assert all(np.isclose(r.score, again[r.doc_id], rtol=1e-9, atol=1e-12) for r in rows)
 
 
+def plain_statistics(text: str) -> list[float]:
+    """FEATURES of an ASCII text, character by character."""
+    kinds = {"lower": str.islower, "upper": str.isupper, "digit": str.isdigit, "stop": ".".__contains__, "comma": ",;:".__contains__, "bar": "|".__contains__, "mark": "!?".__contains__, "symbol": "#$%&*@^~+=<>_\\/".__contains__, "newline": "\n\r".__contains__, "blank": " \t\x0b\x0c".__contains__}
+    count = {k: sum(map(f, text)) for k, f in kinds.items()}
+    n, words = len(text) or 1, text.split()
+    m, lines = len(words) or 1, [x for x in text.split("\n") if x]
+    lengths = [len(x) for x in words] or [0]
+    mean = sum(lengths) / len(lengths)
+    rate = lambda x: math.log(x + 0.002)
+    return [
+        math.log(1 + len(text)), math.log(1 + len(words)), math.log(1 + mean), math.log(1 + math.sqrt(sum((x - mean) ** 2 for x in lengths) / len(lengths))),
+        count["lower"] / n, *(rate(count[k] / n) for k in ("upper", "digit", "stop", "comma", "bar", "mark", "symbol")),
+        rate((len(text) - sum(count.values())) / n), rate(count["newline"] / n), rate(0),
+        len(set(words)) / m, rate(max((words.count(x) for x in set(words)), default=0) / m), rate(sum(a == b for a, b in zip(words, words[1:])) / m),
+        rate(1 - len(set(lines)) / max(len(lines), 1)), math.log(1 + len(words) / max(len(lines), 1)), rate(sum(x > 20 for x in lengths) / m), rate(sum(x.isupper() for x in words) / m),
+    ]
+
+
+def test_statistics():
+    for text in ("", " ", "One two TWO two two.\n\nOne line; twice!\nOne line; twice!\n", "| a | b |\t3.14 (x_y) " + "z" * 30 + ' "ok"\r\n'):
+        assert np.allclose(statistics(text.encode()), plain_statistics(text), rtol=1e-12), text
+
+
+def test_quality_scores_equal_plain_densities(spark):
+    """Every score against Gaussian densities by inverse and determinant, from moments taken over all rows at once."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    x = {d: np.array(statistics(t)) for d, t in texts.items()}
+    known = [(r.doc_id, r.quality) for r in labels.collect() if r.quality in (0, 1) and r.doc_id in x and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    rows, y = np.array([x[d] for d, _ in known]), np.array([q for _, q in known])
+    centre, scale = rows.mean(axis=0), np.sqrt(np.maximum(rows.var(axis=0), 1e-6))
+
+    def placed(v):
+        words = math.exp(v[FEATURES.index("words")]) - 1
+        return np.clip((v - centre) / scale, -5, 5) * words / (words + 20)
+
+    z = np.array([placed(v) for v in rows])
+    own = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    common = sum((y == c).sum() * own[c] for c in (0, 1)) / len(y)
+
+    def log_density(v, c):
+        cov = 0.95 * own[c] + 0.05 * common
+        cov = 0.98 * cov + 0.02 * np.diag(np.diag(cov)) + 0.02 * np.eye(len(FEATURES))
+        off = v - z[y == c].mean(axis=0)
+        return math.log((y == c).mean()) - np.linalg.slogdet(cov)[1] / 2 - off @ np.linalg.inv(cov) @ off / 2
+
+    found = {r.doc_id: r.score for r in classify(docs, labels).collect()}
+    assert found.keys() == x.keys()
+    for d, v in x.items():
+        p = placed(v)
+        assert math.isclose(found[d], 1 / (1 + math.exp(min(700, log_density(p, 0) - log_density(p, 1)))), rel_tol=1e-6, abs_tol=1e-9), d
+
+
 def test_quality_edges(spark, odd, empty):
     labels = spark.createDataFrame([(1, None), (2, 5)], "doc_id long, quality int")
     assert {r.score for r in classify(odd, labels).collect()} == {0.5}
