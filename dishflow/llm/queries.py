@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from dishflow.llm.chat_format import format_and_read_back
 from dishflow.llm.common import shuffle_partitions, table
 from dishflow.llm.exact_dedup import exact_dedup
+from dishflow.llm.fill_in_middle import fill_in_middle
+from dishflow.llm.license_scan import scan_licenses
 from dishflow.llm.mixing import mix
 from dishflow.llm.packing import pack_documents
 from dishflow.llm.quality import classify
 from dishflow.llm.simhash_dedup import near_duplicates
+from dishflow.llm.spelling import spelling_variants
 from dishflow.llm.substring_dedup import drop_repeated_passages
 from dishflow.llm.suffix_dedup import drop_repeated_bytes
 from dishflow.llm.token_files import encode_and_read_back
@@ -73,6 +76,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return fill_in_middle(table(spark, sf_dir, "documents")).select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_topk": op2_topk,
@@ -84,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_spelling": op11_spelling,
+    "op12_licenses": op12_licenses,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
@@ -119,4 +138,39 @@ SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op11_spelling": r"""
+        WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+        r AS (SELECT doc_id, word, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS word FROM documents) WHERE length(word) >= 7 GROUP BY ALL),
+        b AS (SELECT word, k, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || word)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM r),
+        h AS (SELECT word, k, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]))) AS h FROM b, t),
+        w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, k FROM h),
+        v AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+        d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        l AS (SELECT DISTINCT v.word AS short, v.n AS short_n, d.word AS long, d.n AS long_n FROM d JOIN v ON d.rest = v.word),
+        p AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION ALL SELECT short, long, long_n FROM l UNION ALL SELECT long, short, short_n FROM l),
+        q AS (SELECT word, other, n AS other_n, count(*) OVER (PARTITION BY word) AS n_near FROM p QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n FROM v LEFT JOIN q USING (word)),
+        c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f last ON last.word = c.at AND last.form IS NULL""",
+    "op12_licenses": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        o AS (SELECT * FROM w WHERE regexp_matches(array_to_string(ws, ' '), 'apache|lic|ense|general|creative|commons|attri|bution|cc by')),
+        x AS (SELECT doc_id, i, ws[i:i + 5] AS ws FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM o)),
+        s AS (SELECT * FROM (SELECT doc_id, i, array_to_string(ws[1:c], ' ') AS said FROM x, range(1, 7) r(c) WHERE c <= len(ws)) WHERE length(said) BETWEEN 5 AND 31),
+        b AS (SELECT doc_id, i - 1 AS i, label FROM s JOIN (VALUES ('gnu general public license', 'gpl'), ('apache license', 'apache'), ('cc by', 'cc-by'), ('mit license', 'mit')) p(phrase, label) ON s.said = p.phrase),
+        n AS (SELECT * FROM (VALUES ('gpl', 'gnu ', 'general public license', 2), ('apache', '', 'apache license', 1), ('mit', 'mit ', 'license', 1), ('cc-by', '', 'creative commons attribution', 3)) v(label, head, body, errors)),
+        z AS (SELECT doc_id, label, head, body, errors, regexp_replace(substr(said, length(head) + 1), '[^\x00-\x7F]', '#', 'g') AS rest FROM s JOIN n ON length(said) BETWEEN length(head || body) - errors AND length(head || body) + errors AND substr(said, 1, length(head)) = head),
+        m AS (SELECT doc_id, label, errors, length(head || body) AS size, levenshtein(rest, body) AS edits FROM z),
+        g AS (SELECT doc_id, label, 1 - edits / size::DOUBLE AS score FROM m WHERE edits <= errors UNION ALL SELECT doc_id, label, 1.0 FROM b),
+        a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM g GROUP BY doc_id),
+        e AS (SELECT doc_id, count(*) AS n_base, min(i)::BIGINT AS first_word, max(i)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+        FROM w LEFT JOIN e USING (doc_id) LEFT JOIN a USING (doc_id)""",
+    "op13_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+        h AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, ('0x' || substr(s, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(s, 9, 8))::BIGINT % (len(u) + 1) AS b, ('0x' || substr(s, 25, 8))::BIGINT % 100 AS share FROM d),
+        f AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN share < 50 THEN 'spm' ELSE 'psm' END AS form,
+                     array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:n], '') AS x FROM h)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f""",
 }
