@@ -58,6 +58,11 @@ def dedisperse(df: DataFrame, bins: int, freq_low: float, bandwidth: float, dm:
 
 
 def factors(bins: int, freq_low: float, bandwidth: float, dm: float) -> np.ndarray:
-    f, f_c = freq_low + np.arange(bins) * (bandwidth / bins), freq_low + bandwidth
-    k = DISPERSION * 1e6 * dm / f * ((f - f_c) / f_c) ** 2
-    return np.exp(-2j * np.pi * np.fmod(k, 1.0))
+    return phases(np.arange(bins), bins, freq_low, bandwidth, dm)
+
+
+def phases(k: np.ndarray, bins: int, freq_low: float, bandwidth: float, dm: float) -> np.ndarray:
+    """Phase factors of bins k."""
+    f, f_c = freq_low + k * (bandwidth / bins), freq_low + bandwidth
+    turned = DISPERSION * 1e6 * dm / f * ((f - f_c) / f_c) ** 2
+    return np.exp(-2j * np.pi * np.fmod(turned, 1.0))

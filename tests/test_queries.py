@@ -2,14 +2,16 @@
 
 import pytest
 
-from dishflow.jobs import catalogue, live
+from dishflow.jobs import catalogue, live, long
 from tests.conftest import same_rows
 
 
-@pytest.mark.parametrize("name", [*catalogue.QUERIES, *(k for k in live.QUERIES if k in live.SQL)])
+QUERIES, SQL = catalogue.QUERIES | long.QUERIES | live.QUERIES, catalogue.SQL | long.SQL | live.SQL
+
+
+@pytest.mark.parametrize("name", [k for k in QUERIES if k in SQL])
 def test_query_equals_sql(spark, duck, sf, name):
-    run = (catalogue.QUERIES | live.QUERIES)[name]
-    same_rows(run(spark, sf), duck.sql((catalogue.SQL | live.SQL)[name]))
+    same_rows(QUERIES[name](spark, sf), duck.sql(SQL[name]))
 
 
 def test_stream_windows_equal_batch(spark, sf):
