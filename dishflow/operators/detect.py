@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,8 +55,8 @@ def running_mean_1bit(df: DataFrame, n: int, w: int, by: str = "chan", pos: str
     return found.where(F.col(pos) < n).select(by, pos, (F.col(value) > F.col("mean")).cast("int").alias("bit"))
 
 
-def _search(x: np.ndarray, c: Config, zapped: list[tuple[int, int]], reserved: int) -> np.ndarray:
-    """Dedispersed, cleaned time series (rows, tm) of samples (rows, n); rows with too many zapped channels are NaN."""
+def cleaned_spectra(x: np.ndarray, c: Config, zapped: list[tuple[int, int]]) -> np.ndarray:
+    """Dynamic spectra (rows, channels, tm) of samples (rows, n), dedispersed; what is zapped is 0."""
     bins, channels = c.bins, min(c.channel_count, c.bins)
     z = np.fft.rfft(x, axis=1)[:, :bins]
     p = z.real**2 + z.imag**2
@@ -70,13 +72,28 @@ def _search(x: np.ndarray, c: Config, zapped: list[tuple[int, int]], reserved: i
     low, high = kurtosis_limits(c.kurtosis_threshold, length)
     with np.errstate(invalid="ignore", divide="ignore"):
         sk = length * squares / (sums * sums)
-        p[(sk > high) | (sk < low)] = 0
+        y[(sk > high) | (sk < low)] = 0
+    return y
+
+
+def cleaned_series(spectra: np.ndarray, c: Config, reserved: int) -> np.ndarray:
+    """Time series (rows, tm) without their mean; rows with too many zapped channels are NaN."""
+    channels, length = spectra.shape[1:]
+    p = spectra.real**2 + spectra.imag**2
     series = p.sum(axis=1)[:, : length - reserved // channels or length]
     series = series - series.mean(axis=1, keepdims=True)
     series[(p[:, :, 0] == 0).sum(axis=1) >= c.channel_threshold * channels] = np.nan
     return series
 
 
+def boxcar_series(y: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Lengths 1, 2, 4, ... and the sums of so many samples after each one (length 1: the samples)."""
+    n, total, b = y.shape[1], np.cumsum(y, axis=1), 1
+    while b == 1 or b < n and b <= most:
+        yield b, y if b == 1 else total[:, b:] - total[:, :-b]
+        b *= 2
+
+
 def pulse_search(segments: DataFrame, c: Config) -> DataFrame:
     """seg, boxcar, rms, peak, hits for segments (seg, x), without a shuffle: transforms, excision, dedispersion and the
     search run on Arrow batches, and a few numbers a segment leave them. Segments that fail the channel gate give no rows."""
@@ -84,15 +101,10 @@ def pulse_search(segments: DataFrame, c: Config) -> DataFrame:
     reserved = reserved_samples(c)
 
     def fn(x: np.ndarray) -> tuple[np.ndarray, ...]:
-        y = _search(x, c, zapped, reserved)
-        n = y.shape[1]
-        total = np.cumsum(y, axis=1)
-        out, b = [], 1
-        while b == 1 or b < n and b <= c.max_boxcar:
-            v = y if b == 1 else total[:, b:] - total[:, :-b]
+        out = []
+        for b, v in boxcar_series(cleaned_series(cleaned_spectra(x, c, zapped), c, reserved), c.max_boxcar):
             rms = np.sqrt((v * v).mean(axis=1))
             out.append(np.stack([np.full(len(v), float(b)), rms, v.max(axis=1), (v > c.snr_threshold * rms[:, None]).sum(axis=1)], axis=1))
-            b *= 2
         return (np.concatenate(out, axis=1),)
 
     found = stacked_kernel(segments, ["seg"], ["x"], ["v"], fn)

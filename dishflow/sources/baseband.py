@@ -3,21 +3,23 @@
     spark.dataSource.register(BasebandSource)
     spark.read.format("baseband").option("path", "/data/x.bin").option("segment_bytes", 4096).option("reserved_bytes", 512).load()
 
-Options: path (comma-separated files that tasks can open), segment_bytes, reserved_bytes (read again by the next
+Options: path (comma-separated files or folders in any store that store.file_system reaches), segment_bytes, reserved_bytes (read again by the next
 segment), offset_bytes (header to skip), per_partition (segments of a task), emit_trailing_zero_segment (as recorders
 that notice a file's end only by a short read: a file of exactly k segments gives k + 1). The last segment is padded
-with zeros. Segment borders follow from the file's size alone, so every segment can be read by any task again.
+with zeros. Segment borders follow from the sizes that the store tells, and tasks read only the bytes of their segments, so
+every segment can be read by any task again.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from dishflow.sources.store import file_system, sizes
+
 SCHEMA = "file string, seg bigint, start bigint, raw binary"
 
 
@@ -49,17 +51,19 @@ class BasebandReader(DataSourceReader):
 
     def partitions(self) -> list[Segments]:
         out = []
-        for file in self.files:
-            n = segment_count(os.path.getsize(file) - self.offset, self.segment, self.reserved, self.trailing)
-            out += [Segments(file, a, min(n, a + self.each)) for a in range(0, n, self.each)]
+        for uri in self.files:
+            for file, size in sizes(uri).items():
+                n = segment_count(size - self.offset, self.segment, self.reserved, self.trailing)
+                file = uri if uri.endswith(file) else f"{uri.rstrip('/')}/{file.rsplit('/', 1)[-1]}"
+                out += [Segments(file, a, min(n, a + self.each)) for a in range(0, n, self.each)]
         return out
 
     def read(self, partition: Segments) -> Iterator[pa.RecordBatch]:
-        with open(partition.file, "rb") as f:
+        system, path = file_system(partition.file)
+        with system.open_input_file(path) as f:
             for seg in range(partition.first, partition.last):
                 start = self.offset + seg * (self.segment - self.reserved)
-                f.seek(start)
-                raw = f.read(self.segment).ljust(self.segment, b"\0")
+                raw = f.read_at(self.segment, start).ljust(self.segment, b"\0")
                 yield pa.RecordBatch.from_arrays([pa.array([partition.file]), pa.array([seg]), pa.array([start]), pa.array([raw], pa.binary())], names=["file", "seg", "start", "raw"])
 
 
