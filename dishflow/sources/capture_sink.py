@@ -3,12 +3,12 @@
     spark.dataSource.register(CaptureSink)
     pieces.repartition(n, "file").sortWithinPartitions("file", "at").write.format("captures").mode("append").save(uri)
 
-Rows are pieces of files (file, at, data): a file's pieces come together, in order and without gaps, and are written as they
-come, so a file may be larger than memory. Tasks write below _temporary and report what they wrote; files get their names
+Rows are pieces of files (file, at, data): a file's pieces come together and in order, and are written as they come, so a
+file may be larger than memory; what no piece covers is a fault or, with option holes, zeros. Tasks write below _temporary and report what they wrote; files get their names
 only when all tasks have ended, by renames, so a killed or repeated task leaves no half file and a failed write none at
 all. Mode append refuses names that exist, overwrite replaces files of the same names.
 
-As a streaming sink every batch is committed once: its number is noted in _commits after its files have their names. A
+As a streaming sink, which fills holes, every batch is committed once: its number is noted in _commits after its files have their names. A
 batch that runs again after a failure writes the same names, or nothing if it was noted. File names must follow from the
 rows alone.
 """
@@ -39,8 +39,8 @@ class Staged(WriterCommitMessage):
 class _Stage:
     """What tasks and the driver do with one write."""
 
-    def __init__(self, uri: str) -> None:
-        self.uri, self.run = uri.rstrip("/"), uuid.uuid4().hex
+    def __init__(self, uri: str, holes: bool = False) -> None:
+        self.uri, self.holes, self.run = uri.rstrip("/"), holes, uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
         system, base = file_system(self.uri)
@@ -57,6 +57,8 @@ class _Stage:
                             done.files.append((name, f"{folder}/{name}", at))
                         system.create_dir(folder)
                         out, name, at = system.open_output_stream(f"{folder}/{file}"), file, 0
+                    while self.holes and begins > at:
+                        at += out.write(bytes(min(begins - at, 1 << 20)))
                     if begins != at:
                         raise ValueError(f"{name}: a piece at {begins} follows {at} bytes")
                     out.write(data)
@@ -97,8 +99,8 @@ class _Stage:
 
 
 class CaptureWriter(DataSourceArrowWriter):
-    def __init__(self, uri: str, overwrite: bool) -> None:
-        self.stage, self.overwrite = _Stage(uri), overwrite
+    def __init__(self, uri: str, overwrite: bool, holes: bool = False) -> None:
+        self.stage, self.overwrite = _Stage(uri, holes), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         return self.stage.write(iterator)
@@ -111,8 +113,8 @@ class CaptureWriter(DataSourceArrowWriter):
 
 
 class CaptureStreamWriter(DataSourceStreamArrowWriter):
-    def __init__(self, uri: str) -> None:
-        self.stage = _Stage(uri)
+    def __init__(self, uri: str, holes: bool = True) -> None:
+        self.stage = _Stage(uri, holes)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         return self.stage.write(iterator)
@@ -141,7 +143,7 @@ class CaptureSink(DataSource):
         return PIECES
 
     def writer(self, schema, overwrite: bool) -> CaptureWriter:
-        return CaptureWriter(self.options["path"], overwrite)
+        return CaptureWriter(self.options["path"], overwrite, self.options.get("holes", "false").lower() == "true")
 
     def streamWriter(self, schema, overwrite: bool) -> CaptureStreamWriter:  # noqa: N802
         return CaptureStreamWriter(self.options["path"])
