@@ -103,7 +103,7 @@ def dynamic_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = rfi.zap_kurtosis(dynamic_spectrum(spark, sf_dir), CONFIG.kurtosis_threshold, LENGTH)
-    good = rfi.enough_channels(kept, rfi.zero_channels(kept), CHANNELS, CONFIG.channel_threshold)
+    good = rfi.enough_channels(kept, CHANNELS, CONFIG.channel_threshold)
     return detect.without_baseline(detect.time_series(good))
 
 
@@ -187,11 +187,6 @@ def packet_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 S_BYTES = "l AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents), b AS (SELECT doc_id, generate_subscripts(h, 1) - 1 AS i, ('0x' || unnest(h))::INT AS v FROM l)"
 
 
-def _digest(df: DataFrame) -> DataFrame:
-    long = df.select("doc_id", "stream", F.posexplode("x").alias("p", "v"))
-    return long.groupBy("doc_id", "stream").agg(F.count(F.lit(1)).alias("n"), F.sum("v").cast("long").alias("total"), F.sum((F.col("p") % 251 + 1) * F.col("v")).cast("long").alias("checksum"))
-
-
 def _digest_sql(rows: str, more: str = "") -> str:
     return f"WITH {S_BYTES}{more} SELECT doc_id, stream::INTEGER AS stream, count(*) AS n, sum(v)::BIGINT AS total, sum((p % 251 + 1) * v)::BIGINT AS checksum FROM ({rows}) GROUP BY doc_id, stream"
 
@@ -210,7 +205,7 @@ def _register_unpack() -> None:
         "deinterleave_word4_xor": (-8, "word4_xor", "SELECT c.doc_id, i % 16 // 4 AS stream, 4 * (i // 16) + i % 4 AS p, CASE WHEN v >= 0 THEN v + 128 ELSE v - 128 END AS v FROM c JOIN m USING (doc_id) WHERE i < n // 16 * 16", signed),
     }
     for name, (bits, how, rows, more) in cases.items():
-        QUERIES[name] = lambda spark, sf_dir, bits=bits, how=how: _digest(unpack.unpack(documents_bytes(spark, sf_dir), "doc_id", "raw", bits, how))
+        QUERIES[name] = lambda spark, sf_dir, bits=bits, how=how: unpack.unpack_digest(documents_bytes(spark, sf_dir), "doc_id", "raw", bits, how)
         SQL[name] = _digest_sql(rows, more)
 
 
@@ -457,11 +452,11 @@ def normalise_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _A, _B = X.color(resample.COLOR_0), X.color(resample.COLOR_1)
-_MIX = " + ".join(f"floor((1 - v) * {_A >> s & 255} + v * {_B >> s & 255})::BIGINT * {1 << s}" for s in (16, 8, 0))
+S_MIX = " + ".join(f"floor((1 - v) * {_A >> s & 255} + v * {_B >> s & 255})::BIGINT * {1 << s}" for s in (16, 8, 0))
 _VALUE = "(((round(value * 100)::BIGINT) % 120) - 10) / 100.0"
 
 
-@query(f"WITH t AS (SELECT event_id, ({_VALUE})::DOUBLE AS v FROM events) SELECT event_id, CASE WHEN v >= 0 AND v <= 1 THEN 4278190080 + {_MIX} ELSE {X.color(resample.COLOR_OUT)} END::BIGINT AS argb FROM t")
+@query(f"WITH t AS (SELECT event_id, ({_VALUE})::DOUBLE AS v FROM events) SELECT event_id, CASE WHEN v >= 0 AND v <= 1 THEN 4278190080 + {S_MIX} ELSE {X.color(resample.COLOR_OUT)} END::BIGINT AS argb FROM t")
 def pixmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = (F.round(F.col("value") * 100).cast("long") % 120 - 10) / F.lit(100.0)
     return table(spark, sf_dir, "events").select("event_id", resample.pixmap(v).alias("argb"))
@@ -609,4 +604,4 @@ def sigproc_header_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def header_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples behind a header of 16 bytes."""
     d = documents_bytes(spark, sf_dir).where(F.octet_length("raw") > 16).select("doc_id", F.expr("substring(raw, 17)").alias("raw"))
-    return _digest(unpack.unpack(d, "doc_id", "raw", 8)).select("doc_id", "n", "total")
+    return unpack.unpack_digest(d, "doc_id", "raw", 8).select("doc_id", "n", "total")

@@ -32,23 +32,24 @@ def parse(df: DataFrame, raw: str, header: int, counter_at: int = 0) -> DataFram
     return df.withColumn("counter", little_endian(F.col(raw), counter_at, 8)).withColumn("payload", F.expr(f"substring({raw}, {header + 1})"))
 
 
-def gaps(df: DataFrame, by: list[str], counter: str = "counter") -> DataFrame:
-    """Packets missing right before each one; the first of a stream misses none."""
-    before = F.lag(counter).over(Window.partitionBy(*by).orderBy(counter) if by else Window.orderBy(counter))
-    return df.withColumn("gap", F.coalesce(F.col(counter) - before - 1, F.lit(0)).cast("long"))
+def gaps(df: DataFrame, by: list[str], counter: str = "counter", span: int = 4096) -> DataFrame:
+    """df with gap: packets missing right before each one; the first of a stream misses none. Neighbours are looked for
+    within spans of counters and at their borders (a row a span), so that one long stream uses many tasks."""
+    spanned = df.withColumn("span", F.floor(F.col(counter) / span).cast("long"))
+    inner = Window.partitionBy(*by, "span").orderBy(counter)
+    edges = spanned.groupBy(*by, "span").agg(F.max(counter).alias("last"))
+    border = edges.withColumn("before", F.lag("last").over(Window.partitionBy(*by).orderBy("span"))).select(*by, "span", "before")
+    known = spanned.withColumn("own", F.lag(counter).over(inner)).join(border, [*by, "span"])
+    return known.select(*df.columns, F.coalesce(F.col(counter) - F.coalesce("own", "before") - 1, F.lit(0)).cast("long").alias("gap"))
 
 
 def gap_filled(df: DataFrame, by: list[str], value: str, span: int = 4096) -> DataFrame:
-    """by, counter, value: a row for every counter between a stream's first and last, 0 where a packet is missing. Gaps
-    are looked for within spans of counters and at their borders, so that one long stream uses many tasks."""
-    spanned = df.withColumn("span", F.floor(F.col("counter") / span).cast("long"))
-    inner = Window.partitionBy(*by, "span").orderBy("counter")
-    edges = spanned.groupBy(*by, "span").agg(F.max("counter").alias("last"))
-    border = edges.withColumn("before", F.lag("last").over(Window.partitionBy(*by).orderBy("span"))).select(*by, "span", "before")
-    known = spanned.withColumn("own", F.lag("counter").over(inner)).join(border, [*by, "span"])
-    missing = F.coalesce(F.col("counter") - F.coalesce("own", "before") - 1, F.lit(0))
-    ends = known.withColumn("gap", missing)
-    zeros = ends.where("gap > 0").select(*by, F.explode(F.sequence(F.col("counter") - F.col("gap"), F.col("counter") - 1)).alias("counter"), F.lit(0).cast(dict(df.dtypes)[value]).alias(value))
+    """by, counter, value: a row for every counter between a stream's first and last, 0 where a packet is missing. A gap is
+    cut into pieces of `span` counters before it is filled, so that no row holds a long one."""
+    ends = gaps(df, by, span=span).where("gap > 0").select(*by, (F.col("counter") - F.col("gap")).alias("first"), (F.col("counter") - 1).alias("last"))
+    pieces = ends.select(*by, "last", F.explode(F.sequence("first", "last", F.lit(span).cast("long"))).alias("first"))
+    missing = F.explode(F.sequence("first", F.least("last", F.col("first") + span - 1))).alias("counter")
+    zeros = pieces.select(*by, missing, F.lit(0).cast(dict(df.dtypes)[value]).alias(value))
     return df.select(*by, "counter", value).unionByName(zeros)
 
 

@@ -89,6 +89,7 @@ def zero_channels(df: DataFrame) -> DataFrame:
     return df.groupBy("seg").agg(F.sum(F.when((F.col("tm") == 0) & (p == 0), 1).otherwise(0)).cast("long").alias("zeros"))
 
 
-def enough_channels(df: DataFrame, zeros: DataFrame, channels: int, most: float) -> DataFrame:
-    """Segments of which fewer than most * channels are zero."""
-    return df.join(zeros.where(F.col("zeros") < most * channels).select("seg"), "seg", "left_semi")
+def enough_channels(df: DataFrame, channels: int, most: float) -> DataFrame:
+    """Segments of which fewer than most * channels are zero, counted by a window: the rows are not made twice."""
+    silent = F.when((F.col("tm") == 0) & (power(F.col("re"), F.col("im")) == 0), 1).otherwise(0)
+    return df.withColumn("zeros", F.sum(silent).over(Window.partitionBy("seg"))).where(F.col("zeros") < most * channels).drop("zeros")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dishflow.formats import lookup
 from dishflow.operators.kernels import bytes_kernel
@@ -45,7 +47,49 @@ def unpack(df: DataFrame, key: str, raw: str, bits: int, interleave: str = "") -
     return bytes_kernel(df, key, raw, lambda b: split(decode(b, bits)))
 
 
-def unpack_format(df: DataFrame, key: str, raw: str, bits: int, name: str) -> DataFrame:
+def format_split(bits: int, name: str) -> str:
     """By format name. Two polarisations come in pairs of equal ones only for signed bytes, else sample by sample."""
     how = lookup(name).interleave
-    return unpack(df, key, raw, bits, "1212" if how == "1122" and bits != -8 else how)
+    return "1212" if how == "1122" and bits != -8 else how
+
+
+def unpack_format(df: DataFrame, key: str, raw: str, bits: int, name: str) -> DataFrame:
+    return unpack(df, key, raw, bits, format_split(bits, name))
+
+
+def unpack_digest(df: DataFrame, key: str, raw: str, bits: int, interleave: str = "") -> DataFrame:
+    """key, stream, n, total, checksum (value times place % 251 + 1) of each row's samples, summed where they are unpacked.
+    Streams without samples give no row."""
+    split = SPLITS[interleave]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for stream, x in enumerate(split(decode(np.frombuffer(data.as_py() or b"", np.uint8), bits))):
+                    if len(x):
+                        v = x.astype(np.int64)
+                        rows.append((k, stream, len(v), int(v.sum()), int(((np.arange(len(v)) % 251 + 1) * v).sum())))
+            if rows:
+                kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[key, "stream", "n", "total", "checksum"])
+
+    return df.select(key, raw).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, stream int, n long, total long, checksum long")
+
+
+UNPACKED = "doc_id long, stream int, place long, x double"
+
+
+class UnpackTable:
+    """SQL's unpack_samples(TABLE(...) PARTITION BY ...): a row for each sample of rows (doc_id, raw, bits, format)."""
+
+    def eval(self, table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for doc_id, raw, bits, name in zip(*(table.column(table.schema.get_field_index(c)) for c in ("doc_id", "raw", "bits", "format")), strict=True):
+            streams = SPLITS[format_split(bits.as_py(), name.as_py())](decode(np.frombuffer(raw.as_py() or b"", np.uint8), bits.as_py()))
+            for stream, x in enumerate(streams):
+                cols = [np.full(len(x), doc_id.as_py(), np.int64), np.full(len(x), stream, np.int32), np.arange(len(x)), x.astype(float)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "stream", "place", "x"])
+
+
+def register_unpack(spark: SparkSession) -> None:
+    spark.udtf.register("unpack_samples", F.arrow_udtf(UnpackTable, returnType=UNPACKED))

@@ -2,11 +2,11 @@
 
 import pytest
 
-from dishflow.jobs import catalogue, files, live, long
+from dishflow.jobs import catalogue, files, live, long, more
 from tests.conftest import same_rows
 
 
-QUERIES, SQL = catalogue.QUERIES | long.QUERIES | files.QUERIES | live.QUERIES, catalogue.SQL | long.SQL | files.SQL | live.SQL
+QUERIES, SQL = catalogue.QUERIES | more.QUERIES | long.QUERIES | files.QUERIES | live.QUERIES, catalogue.SQL | more.SQL | long.SQL | files.SQL | live.SQL
 
 
 @pytest.mark.parametrize("name", [k for k in QUERIES if k in SQL])
