@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from dishflow.llm.common import documents, materialise, shuffle_partitions, text_rows
 
+COPIES = 1 << 12  # equal rows of one doc_id that are listed at once
 SPACES = b" \t\n\r\x0b\x0c"
 
 
@@ -173,7 +174,10 @@ def exact_dedup(
     groups = materialise(members.groupBy("digest", "form").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size")).select(F.col("digest").alias("of"), F.col("form").alias("as"), "keep_id", "group_size"))
     n_groups, other = groups.agg(F.count(F.lit(1)), F.sum(F.octet_length("as"))).first()
     groups = F.broadcast(groups) if n_groups <= broadcast_digests and (other or 0) <= broadcast_bytes else groups
-    verified = members.join(groups, (F.col("digest") == F.col("of")) & F.col("form").eqNullSafe(F.col("as"))).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    verified = members.join(groups, (F.col("digest") == F.col("of")) & F.col("form").eqNullSafe(F.col("as")))
+    # a row for each of n equal rows, in steps, so that no row holds a long array
+    verified = verified.withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(COPIES).cast("long"))))
+    verified = verified.withColumn("nth", F.explode(F.sequence("from", F.least("n", F.col("from") + COPIES - 1))))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
     hexed = F.lower(F.hex("digest")).alias("text_sha256")
     alone = rows.join(few, "digest", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)

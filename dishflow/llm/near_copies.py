@@ -8,9 +8,15 @@
    ceil(0.8 n) - 1. Two texts of similarity 0.8 always have a shingle of their heads in common, whatever the order;
    shingles that a sample shows to be frequent come last, so that few others meet. Nodes that share a head shingle are a
    bucket. Members of large buckets are compared with a few of them at first; after that only members of different groups
-   are compared. A large group thus gives few pairs more than it has members. Sizes, places in the order, parity bits (512
+   are compared. A large group thus gives few pairs more than it has members. Shingles of more than CHUNK nodes, which the
+   sample shows too, have buckets in parts: at first each part, dealt anew in each round, has a few members that all others
+   of it are compared with, which joins parts to one group; then buckets that are one group go, and of the others only
+   members outside of their largest group are compared with all, in cells of at most about CHUNK and CHUNK rows. Sizes, places in the order, parity bits (512
    of them in large buckets) and the number of shared buckets rule out pairs that cannot be similar enough (bounds, not
    estimates); the others are verified like the first.
+
+Defined cases: an empty table gives no rows; null and blank texts are near copies of each other; a text of fewer words is
+one shingle; ties don't matter, as a group is all that links reach; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +40,8 @@ ROUNDS, CENTRES = 3, 8  # members of a large bucket that all others are compared
 SMALL = 8  # buckets up to this size are compared vectorised over all of them
 PAIRS = 1 << 18  # comparisons that are held at once
 SIGN, SIGNED = 512, 1 << 16  # parity bits of a node, kept in large buckets; comparisons of them that are held at once
-HEAD = ["token", "node", "size", "place", "bits"]
+CHUNK = 4096  # nodes of a shingle, or of a part of it, that a task compares
+HEAD = ["token", "node", "size", "place", "bits", "parts"]
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -96,17 +103,26 @@ def _marked(words: int, often: np.ndarray, rank: np.ndarray):
     return run
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Head shingles: token, node, size, place, bits (the sign, folded to 64 bits)."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 500):
-            node, size, sign, head = batch.slice(i, 500).columns
-            own = [np.frombuffer(x.as_py(), np.int64) for x in head]
-            k = np.array([len(x) for x in own])
-            bits = np.bitwise_xor.reduce(_words(sign.to_pylist()).view(np.int64), axis=1)
-            place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            cols = (np.concatenate(own), np.repeat(node.to_numpy(), k), np.repeat(size.to_numpy(), k), place.astype(np.int32), np.repeat(bits, k))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=HEAD)
+def _heads(hot: np.ndarray, parts: np.ndarray):
+    """Head shingles: token, node, size, place, bits (the sign, folded to 64 bits), parts of the token's bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                node, size, sign, head = batch.slice(i, 500).columns
+                own = [np.frombuffer(x.as_py(), np.int64) for x in head]
+                k = np.array([len(x) for x in own])
+                bits = np.bitwise_xor.reduce(_words(sign.to_pylist()).view(np.int64), axis=1)
+                place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                token = np.concatenate(own)
+                of = np.ones(len(token), np.int32)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+                    of = np.where(hot[at] == token, parts[at], 1).astype(np.int32)
+                cols = (token, np.repeat(node.to_numpy(), k), np.repeat(size.to_numpy(), k), place.astype(np.int32), np.repeat(bits, k), of)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=HEAD)
+
+    return run
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
@@ -130,14 +146,42 @@ def _words(signs: list[bytes]) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets of two or more, and whether there are more than SMALL."""
-    for cols in _whole_buckets(batches, HEAD):
+    """Rows of buckets of two or more, and whether there are more than SMALL, over rows sorted by token. Of a bucket that
+    goes on at most SMALL rows are held. Buckets in parts are always shared."""
+
+    def batch_of(cols: list[np.ndarray], keep: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in cols), pa.array(crowded[keep])], names=[*HEAD, "crowded"])
+
+    held: list[np.ndarray] | None = None
+    large: int | None = None  # the open bucket's token, once its rows are known to be crowded
+    for batch in batches:
+        cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in HEAD]
+        if large is not None and len(cols[0]):
+            k = int(np.searchsorted(cols[0], large, side="right"))
+            if k:
+                yield batch_of([c[:k] for c in cols], np.ones(k, bool), np.ones(k, bool))
+            cols = [c[k:] for c in cols]
+            large = large if not len(cols[0]) else None
+        if not len(cols[0]):
+            continue
+        cols = cols if held is None else [np.concatenate(c) for c in zip(held, cols, strict=True)]
         cuts = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
         sizes = np.diff(np.append(cuts, len(cols[0])))
         size = np.repeat(sizes, sizes)
-        keep = size > 1
+        last = int(cuts[-1])
+        if sizes[-1] > SMALL:
+            large, held, ends = int(cols[0][-1]), None, len(size)
+        else:
+            held, ends = [c[last:] for c in cols], last
+        parted = cols[5][:ends] > 1
+        keep = (size[:ends] > 1) | parted
         if keep.any():
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in cols), pa.array(size[keep] > SMALL)], names=[*HEAD, "crowded"])
+            yield batch_of([c[:ends] for c in cols], keep, (size[:ends] > SMALL) | parted)
+    if held is not None:
+        parted = held[5] > 1
+        keep = (np.full(len(parted), len(parted)) > 1) | parted
+        if keep.any():
+            yield batch_of(held, keep, parted)
 
 
 def _possible(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -171,13 +215,17 @@ def _alike(i: np.ndarray, j: np.ndarray, size: np.ndarray, words: np.ndarray) ->
     return ok
 
 
+MAJOR, RIGHT, MINOR = 1, 2, 3  # sides of a cell of a bucket in parts: members of its largest group, others as partners, others
+DEALT = ["cell", "node", "size", "place", "bits", "root", "side", "sign"]
+
+
 def _pairs(stars: bool):
-    """Over rows sorted by token: a, b to compare, need (how many buckets must name them). stars: each member of a large
-    bucket with its first few; else all pairs across components."""
+    """Over rows sorted by cell (a bucket, or what is compared of one in parts): a, b to compare, need (how many buckets must
+    name them). stars: each member of a large cell with its first few; else all pairs across components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _whole_buckets(batches, [*HEAD, "root", "sign"]):
-            token, node, size, place, bits, root, sign = (c.copy() for c in cols)
+        for cols in _whole_buckets(batches, DEALT):
+            token, node, size, place, bits, root, side, sign = (c.copy() for c in cols)
 
             def batch_of(i: np.ndarray, j: np.ndarray, words: np.ndarray | None = None, s: int = 0) -> pa.RecordBatch:
                 ok = root[i] != root[j]
@@ -192,11 +240,19 @@ def _pairs(stars: bool):
             cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             ends = np.append(cuts[1:], len(token))
             if not stars:
-                few = np.repeat(ends - cuts <= SMALL, ends - cuts)
+                few = np.repeat(ends - cuts <= SMALL, ends - cuts) & (side == 0)
                 for k in range(1, SMALL):
                     at = np.flatnonzero(few[k:] & (token[k:] == token[:-k]))
                     yield batch_of(at, at + k)
             for s, e in zip(cuts.tolist(), ends.tolist(), strict=True):
+                if side[s]:
+                    left, right = s + np.flatnonzero(side[s:e] != RIGHT), s + np.flatnonzero(side[s:e] == RIGHT)
+                    words, step = _words(sign[s:e].tolist()), max(1, PAIRS // max(1, len(right)))
+                    for f in range(0, len(left), step):
+                        i, j = (x.ravel() for x in np.broadcast_arrays(left[f : f + step][:, None], right))
+                        once = (side[i] == MAJOR) | (node[i] < node[j])
+                        yield batch_of(i[once], j[once], words, s)
+                    continue
                 if e - s <= SMALL or (root[s:e] == root[s]).all():
                     continue
                 end = min(e, s + CENTRES)
@@ -242,9 +298,25 @@ def simhash_pairs(nodes: DataFrame, words: int) -> DataFrame:
     return near.unionByName(equal).distinct()
 
 
-def near_copies(rows: DataFrame, words: int = 5) -> DataFrame:
-    """row, doc_id, root: of rows (row: a long that names each row, fixed; doc_id; text) those in groups of two or more.
-    Null and blank texts are near copies of each other."""
+def _cells(rows: DataFrame, chunk: int) -> DataFrame:
+    """DEALT for all pairs across components: buckets as they are; of buckets in parts that aren't one group, every member
+    (in its part) with those outside of the largest group (in theirs)."""
+    whole = rows.where("parts = 1").select(F.col("token").alias("cell"), "node", "size", "place", "bits", "root", F.lit(0).alias("side"), "sign")
+    parted = materialise(rows.where("parts > 1"))
+    groups = parted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+    tops = groups.groupBy("token").agg(F.max(F.struct("n", F.col("root").alias("top"))).alias("most"), F.sum("n").alias("n")).where(F.col("n") > F.col("most.n"))
+    tops = materialise(tops.select("token", "most.top", F.ceil((F.col("n") - F.col("most.n")) / chunk).cast("int").alias("others")))
+    known = parted.join(tops, "token").withColumn("minor", F.col("root") != F.col("top"))
+    part, other = F.pmod(F.xxhash64("node"), F.col("parts")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("others"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = known.select("*", part.alias("p"), each("others").alias("q"), F.when(F.col("minor"), MINOR).otherwise(MAJOR).alias("side"))
+    right = known.where("minor").select("*", each("parts").alias("p"), other.alias("q"), F.lit(RIGHT).alias("side"))
+    cells = [x.select(F.xxhash64("token", F.col("p").cast("long"), F.col("q").cast("long")).alias("cell"), *DEALT[1:]) for x in (left, right)]
+    return whole.unionByName(cells[0]).unionByName(cells[1])
+
+
+def near_copies(rows: DataFrame, words: int = 5, chunk: int = CHUNK) -> DataFrame:
+    """row, doc_id, root: of rows (row: a long that names each row, fixed; doc_id; text) those in groups of two or more."""
     n = shuffle_partitions(rows.sparkSession)
     texts = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     digests = materialise(texts.mapInArrow(_digests, "row long, doc_id long, digest binary"))
@@ -256,9 +328,13 @@ def near_copies(rows: DataFrame, words: int = 5) -> DataFrame:
     seen = counts.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(LISTED).toArrow()
     token, count = (seen.column(c).to_numpy() for c in ("token", "count"))
     order = np.argsort(token)
-    marked = materialise(own.mapInArrow(_marked(words, token[order], count[order]), "node long, size int, sign binary, head binary"))
-    heads = marked.select("node", "size", "sign", "head").mapInArrow(_heads, "token long, node long, size int, place int, bits long")
-    shared = materialise(heads.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, node long, size int, place int, bits long, crowded boolean"))
+    token, count = token[order], count[order]
+    marked = materialise(own.mapInArrow(_marked(words, token, count), "node long, size int, sign binary, head binary"))
+    hot = count * SAMPLE > chunk
+    kinds = "token long, node long, size int, place int, bits long, parts int"
+    heads = marked.select("node", "size", "sign", "head").mapInArrow(_heads(token[hot], -(-count[hot] * SAMPLE // chunk)), kinds)
+    dealt = heads.repartition(n, "token", F.pmod(F.xxhash64("node"), F.col("parts"))).sortWithinPartitions("token")
+    shared = materialise(dealt.mapInArrow(_shared, f"{kinds}, crowded boolean"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -269,8 +345,14 @@ def near_copies(rows: DataFrame, words: int = 5) -> DataFrame:
     def compared(members: DataFrame, found: DataFrame, star: int | None) -> DataFrame:
         roots = marked.select("node", "sign").join(connected_components(found), "node", "left").select("node", "sign", F.coalesce("root", "node").alias("root"))
         rooted = members.join(roots, "node").select(*HEAD, "root", F.when(F.col("crowded"), F.col("sign")).alias("sign"))
+        if star is None:
+            cells = _cells(rooted, chunk)
+        else:
+            part = F.pmod(F.xxhash64("node", F.lit(star + 2)), F.col("parts"))
+            cell = F.when(F.col("parts") > 1, F.xxhash64("token", part.cast("long"))).otherwise(F.col("token"))
+            cells = rooted.select(cell.alias("cell"), "node", "size", "place", "bits", "root", F.lit(0).alias("side"), "sign")
         # the first members of a bucket are the same in most buckets of a group, so that their pairs are few
-        dealt = rooted.repartition(n, "token").sortWithinPartitions("token", F.xxhash64("node", F.lit(star or 0)))
+        dealt = cells.repartition(n, "cell").sortWithinPartitions("cell", F.xxhash64("node", F.lit(star or 0)))
         named = dealt.mapInArrow(_pairs(star is not None), "a long, b long, need long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
         # a star counts only the buckets that its centre leads: what it misses is compared later
         return verified(materialise(named.where("n >= need").select("a", "b")))

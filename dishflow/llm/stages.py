@@ -35,19 +35,35 @@ def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_accepted(docs, table(spark, sf_dir, "labels"))
 
 
+def _numbered(rows: DataFrame, by: list[str], nth: str, docs: DataFrame) -> DataFrame:
+    """rows with nth (from 1) among those of equal `by`, in an order that all of their columns decide, so that a task that
+    runs again numbers them alike; rows that are equal throughout may change places."""
+    order = [F.col(c) for c, t in docs.dtypes if "map<" not in t and t != "variant"]
+    return rows.withColumn(nth, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal normalised texts the row that exact dedup keeps."""
-    digest, nth = _free(docs, "digest"), _free(docs, "nth")
+    """Of equal normalised texts the row that exact dedup keeps; of several rows with its doc_id and text, one. Only rows that
+    repeat both, which are few, are numbered; the others aren't shuffled for it."""
+    digest, nth, kept_id, kept_digest, copies = (_free(docs, c) for c in ("digest", "nth", "kept_id", "kept_digest", "copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([hashlib.sha256(normalised(x)).digest() for x in text_rows(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, digest])
 
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest"))
+    result = materialise(exact_dedup(docs))
+    named = lambda d: d.select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept_digest))
+    # rows of the kept document: of most there is one
+    alike = result.where("doc_id IS NOT DISTINCT FROM keep_id AND group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias(copies))
+    alike = materialise(named(alike.where(F.col(copies) > 1)))
+    kept = materialise(named(result.where("kept")))
     rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType())]))
-    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(F.lit(0)))).where(F.col(nth) == 1)
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(digest) == F.col("kept_digest")), "left_semi").select(*docs.columns)
+    on = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest))
+    same = F.col("one." + kept_id).eqNullSafe(F.col("two." + kept_id)) & (F.col("one." + kept_digest) == F.col("two." + kept_digest))
+    once = rows.join(kept.alias("one").join(alike.alias("two"), same, "left_anti"), on, "left_semi")
+    many = _numbered(rows.join(alike, on, "left_semi"), ["doc_id", digest], nth, docs).where(F.col(nth) == 1)
+    return once.select(*docs.columns).unionByName(many.select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,19 +80,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes them, in the order of training. Few rows repeat both doc_id and text: only
     those are numbered, to share out their uses; the texts of all others meet their uses in one shuffle."""
-    text, nth = _free(docs, "text_hash"), _free(docs, "nth")
+    inner = ("text_hash", "nth", "m_id", "m_text", "m_uses", "m_nth", "m_use", "a_id", "a_text", "copies")
+    text, nth, m_id, m_text, m_uses, m_nth, m_use, a_id, a_text, copies = (_free(docs, c) for c in inner)
     rows = docs.withColumn(text, F.xxhash64("text"))
-    mixed = result_of(spark, lambda: mix(rows, keys=[text]).select(F.col("doc_id").alias("m_id"), F.col(text).alias("m_text"), F.filter("uses", lambda u: u["whole"]).alias("m_uses")))
-    alike = materialise(mixed.groupBy("m_id", "m_text").count().where("count > 1").select(F.col("m_id").alias("a_id"), F.col("m_text").alias("a_text")))
-    repeated = F.col("m_id").eqNullSafe(F.col("a_id")) & (F.col("m_text") == F.col("a_text"))
-    on = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col(text) == F.col("m_text"))
-    once = rows.join(mixed.where(F.size("m_uses") > 0).join(alike, repeated, "left_anti"), on).select(*docs.columns, "m_uses")
-    many = mixed.join(alike, repeated, "left_semi").withColumn("m_nth", F.row_number().over(Window.partitionBy("m_id", "m_text").orderBy("m_uses")))
-    own = rows.join(alike, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col(text) == F.col("a_text")), "left_semi")
-    own = own.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.lit(0))))
-    shared = own.join(many, on & (F.col(nth) == F.col("m_nth"))).select(*docs.columns, "m_uses")
-    used = once.unionByName(shared).select("*", F.explode("m_uses").alias("m_use"))
-    ordered = used.repartitionByRange(shuffle_partitions(spark), F.col("m_use.position"), "doc_id").sortWithinPartitions(F.col("m_use.position"), "doc_id")
+    mixed = result_of(spark, lambda: mix(rows, keys=[text]).select(F.col("doc_id").alias(m_id), F.col(text).alias(m_text), F.filter("uses", lambda u: u["whole"]).alias(m_uses)))
+    alike = mixed.groupBy(m_id, m_text).agg(F.count(F.lit(1)).alias(copies)).where(F.col(copies) > 1)
+    alike = materialise(alike.select(F.col(m_id).alias(a_id), F.col(m_text).alias(a_text)))
+    repeated = F.col(m_id).eqNullSafe(F.col(a_id)) & (F.col(m_text) == F.col(a_text))
+    on = F.col("doc_id").eqNullSafe(F.col(m_id)) & (F.col(text) == F.col(m_text))
+    once = rows.join(mixed.where(F.size(m_uses) > 0).join(alike, repeated, "left_anti"), on).select(*docs.columns, m_uses)
+    many = mixed.join(alike, repeated, "left_semi").withColumn(m_nth, F.row_number().over(Window.partitionBy(m_id, m_text).orderBy(m_uses)))
+    own = rows.join(alike, F.col("doc_id").eqNullSafe(F.col(a_id)) & (F.col(text) == F.col(a_text)), "left_semi")
+    shared = _numbered(own, ["doc_id", text], nth, docs).join(many, on & (F.col(nth) == F.col(m_nth))).select(*docs.columns, m_uses)
+    used = once.unionByName(shared).select("*", F.explode(m_uses).alias(m_use))
+    place = F.col(m_use)["position"]
+    ordered = used.repartitionByRange(shuffle_partitions(spark), place, "doc_id").sortWithinPartitions(place, "doc_id")
     return ordered.select(*docs.columns)
 
 

@@ -50,6 +50,39 @@ def test_all_near_copies_are_found(spark, monkeypatch, often):
     assert 1.2 * len(set(label)) < len(label)
 
 
+@pytest.mark.parametrize("chunk", [4, 30])
+def test_buckets_in_parts(spark, monkeypatch, chunk):
+    """Shingles of more nodes than a part holds: groups on both sides of 0.8 that share a passage, and some apart."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    monkeypatch.setattr(near_copies, "OFTEN", 2)
+    rng = random.Random(8)
+    texts = edited(rng)
+    base = rng.choices([f"v{i}" for i in range(300)], k=100)
+    for _ in range(150):
+        own = list(base)
+        for at in rng.sample(range(100), rng.choice([1, 1, 2, 6])):
+            own[at] = rng.choice("xyz")
+        texts.append(" ".join(own))
+    label = groups(texts)
+    found = near_copies.near_copies(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string").repartition(3), chunk=chunk)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.root, set()).add(r.row)
+    want = {}
+    for i, v in enumerate(label):
+        want.setdefault(v, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_one_shingle_in_all_rows(spark):
+    """20,000 rows that have a shingle in common, in parts of a thousand: only the copies are found, and all of them."""
+    n = 20_000
+    df = spark.range(n).selectExpr("id AS row", "id AS doc_id", "concat('one line that all have ', id, ' ', id % 50000, ' ', id * 7 % 50021) AS text")
+    twins = df.union(df.where("row < 100").selectExpr("row + 20000", "doc_id + 20000", "concat(text, '')"))
+    found = near_copies.near_copies(twins, chunk=1000)
+    assert found.count() == 200 and found.select("root").distinct().count() == 100
+
+
 def test_a_large_group_gives_few_pairs(spark, monkeypatch):
     rng = random.Random(5)
     base = rng.choices([f"w{i}" for i in range(300)], k=120)

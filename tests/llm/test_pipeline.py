@@ -4,9 +4,11 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from dishflow.llm import exact_dedup, mixing, near_copies, quality, simhash_dedup, stages
 from dishflow.llm.common import materialise
 from dishflow.llm.quality import classify
 from tests.llm.test_near_copies import groups
@@ -47,8 +49,29 @@ def test_odd_rows_pass(spark, odd, empty):
     assert odd.count() > 0 and empty.count() == 0
 
 
+def test_stages_bear_any_column_name(spark):
+    """Every name that a stage uses inside, as a further column of its input; null and repeated rows."""
+    names = set(re.findall(r'"([a-z_]+)"', "".join(open(m.__file__).read() for m in (stages, mixing, exact_dedup, quality, near_copies, simhash_dedup)))) - {"doc_id", "text", "lang", "source", "n_chars"}
+    rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (2, "a  b c d e f", "s"), (None, "x y z", None), (None, "x y z", None), (None, "x  y z", "t"), (3, None, "s"), (4, "", None), (4, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in sorted(names)})
+    assert {"m_uses", "kept_id", "a_text", "root"} <= set(docs.columns)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF))
+        assert docs.count() > 0 and (name == "best-fit packing" or set(names) <= set(docs.columns)), name
+
+
+def test_equal_rows_are_numbered_alike(spark):
+    """Of rows with one id and text that differ in other columns, the one that stays doesn't depend on their order."""
+    rows = [(None, "a b", "en", "s1"), (None, "a  b", "de", "s2"), (None, "a b", "fr", None), (7, "a b", "xx", "s3"), (7, "a b", "aa", "s3"), (9, "c", "en", None), (9, "c", "de", None)]
+    kept = set()
+    for turn in range(3):
+        some = rows[turn:] + rows[:turn]
+        kept.add(str(sorted(map(str, stages.drop_copies(spark, spark.createDataFrame(some, "doc_id long, text string, lang string, source string").repartition(turn + 1), SF).collect()))))
+    assert len(kept) == 1 and "aa" in kept.pop()
+
+
 def test_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", k)[0] for k in __spark_entry__.queries() if k.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", k)[0] for k in __spark_entry__.queries() if k.startswith("op")}
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
 
 
