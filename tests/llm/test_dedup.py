@@ -1,6 +1,6 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -165,6 +165,36 @@ def test_repeated_bytes(odd, k, anchor):
     assert sorted(str((a, b, c, e, bytes(f))) for a, b, c, e, f in got) == sorted(strings([r[:2] for r in odd_rows()], k))
 
 
+def test_op8_as_registered(spark, sf):
+    """400 bytes and its anchor, against all windows of the whole table."""
+    from dishflow.llm.queries import op8_suffix_dedup
+
+    rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    seen = Counter(t[i : i + 400] for _, t in rows for i in range(len(t) - 399))
+    want = set()
+    for i, t in rows:
+        gone = np.zeros(len(t) + 1, bool)
+        for a in range(len(t) - 399):
+            if seen[t[a : a + 400]] > 1:
+                gone[a : a + 400] = True
+        spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
+        kept = np.frombuffer(t, np.uint8)[~gone[:-1]].tobytes()
+        want.add((i, len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op8_suffix_dedup(spark, sf).collect()}
+    assert got == want and sum(x[2] > 0 for x in want) > 3
+
+
+@pytest.mark.parametrize("copies", [1, 3, 4096])
+def test_equal_rows_of_one_id_are_listed_in_steps(spark, monkeypatch, copies):
+    from dishflow.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "COPIES", copies)
+    rows = [(None, "")] * 11 + [(None, None)] * 2 + [(5, "a b")] * 7 + [(6, "a  b")] * 3 + [(7, "c")]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    counted = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got)
+    assert counted == {(None, None, 13, True): 1, (None, None, 13, False): 12, (5, 5, 10, True): 1, (5, 5, 10, False): 6, (6, 5, 10, False): 3, (7, 7, 1, True): 1}
+
+
 def test_text_longer_than_a_step(spark, monkeypatch):
     """Windows of a text that is hashed in several steps."""
     import dishflow.llm.paths as paths
