@@ -1,8 +1,9 @@
-"""Substring dedup by de Bruijn compaction.
+"""Substring dedup over paths of a de Bruijn graph that share a minimiser.
 
-Windows of 50 words are the edges of a de Bruijn graph. Paths of edges that share a minimiser are compacted by joins:
-equal ones become one row; where they branch, their text is fetched at its source coordinate and split until only
-what is equal is equal (see repeats.py). Each edge then knows the smallest document in which it starts, and the words
+The method named for this operator joins each edge to its successor and compacts nonbranching runs; this one doesn't (see
+the README). Windows of 50 words are the edges of the graph. Runs of edges of one document that share a minimiser are its
+paths: equal ones become one row; where they branch, their text is fetched at its source coordinate and split until only
+what is equal by its hashes is equal (see repeats.py). Each edge then knows the smallest document in which it starts, and the words
 that it covers go from every later document.
 
 Defined cases: null and empty texts have no words; documents below 50 words lose nothing; a null doc_id counts as the
