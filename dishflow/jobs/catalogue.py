@@ -12,7 +12,7 @@ from dishflow.config import Config
 from dishflow.functions import scalars as X
 from dishflow.functions.scalars import r6
 from dishflow.functions.windows import HAMMING, HANN, cosine_sum
-from dishflow.operators import capture, dedisperse, detect, fourier, packets, resample, rfi, unpack
+from dishflow.operators import capture, dedisperse, detect, fourier, headers, packets, resample, rfi, unpack
 from dishflow.sources.tables import documents_bytes, samples, segments, table, vectors
 from dishflow.sources.tables import packets as packet_rows
 
@@ -595,9 +595,8 @@ def life_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT s_suppkey, '0B000000' || hex('source_name') || lpad(hex(length(s_name)), 2, '0') || '000000' || hex(s_name) AS header FROM supplier""")
 def sigproc_header_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header entry for each name: strings with their length, a little-endian 32-bit integer, before them."""
-    text = lambda x, n: F.concat(F.lpad(F.hex(n), 2, "0"), F.lit("000000"), F.hex(x))
-    key = F.lit("source_name")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(text(key, F.length(key)), text(F.col("s_name"), F.length("s_name"))).alias("header"))
+    made = headers.header_entries(table(spark, sf_dir, "supplier"), "s_suppkey", "source_name", "s_name")
+    return made.select("s_suppkey", F.hex("entry").alias("header"))
 
 
 @query(f"WITH {S_BYTES} SELECT doc_id, count(*) AS n, sum(v)::BIGINT AS total FROM b WHERE i >= 16 GROUP BY doc_id")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def npy_bytes(re: np.ndarray, im: np.ndarray, channels: int) -> bytes:
@@ -34,3 +37,14 @@ def header_entry(key: str, value: int | float | str) -> bytes:
 
 def filterbank_header(entries: dict[str, int | float | str]) -> bytes:
     return header_string("HEADER_START") + b"".join(header_entry(k, v) for k, v in entries.items()) + header_string("HEADER_END")
+
+
+def header_entries(rows: DataFrame, key: str, name: str, value: str) -> DataFrame:
+    """key, entry (binary): the header entry of `name` with each row's value; a null value gives an empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [header_entry(name, "" if v is None else v) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=[key, "entry"])
+
+    return rows.select(key, value).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, entry binary")
