@@ -1,10 +1,11 @@
-"""Substring dedup over paths of a de Bruijn graph that share a minimiser.
+"""Substring dedup by de Bruijn compaction.
 
-The method named for this operator joins each edge to its successor and compacts nonbranching runs; this one doesn't (see
-the README). Windows of 50 words are the edges of the graph. Runs of edges of one document that share a minimiser are its
-paths: equal ones become one row; where they branch, their text is fetched at its source coordinate and split until only
-what is equal by its hashes is equal (see repeats.py). Each edge then knows the smallest document in which it starts, and the words
-that it covers go from every later document.
+Windows of 50 words are the edges of a graph of token k-mers. Runs of edges of one document that share a minimiser are its
+first paths: equal ones become one row, and where they branch, their text is fetched at its source coordinate and split
+until only equal parts are left (repeats.py). Paths that always follow each other have no branch between them and are
+compacted to their chain's head by joins and pointer doubling (unitigs.py). What is found so are hashes; each repeated
+stretch is therefore compared word by word with the text at its source coordinates. Windows of stretches that differ from
+their source are compared as texts, with all windows of the same minimiser. So a removal never rests on hashes alone.
 
 Defined cases: null and empty texts have no words; documents below 50 words lose nothing; a null doc_id counts as the
 largest; rows that share a doc_id take nothing from each other; an empty table gives an empty result; further columns
@@ -13,7 +14,8 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +23,126 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dishflow.llm.common import result_of
-from dishflow.llm.repeats import Kind, merged, packed_texts, repeated, spans
+from dishflow.llm.common import materialise, result_of
+from dishflow.llm.paths import paths, word_tokens
+from dishflow.llm.repeats import FIELD, LISTED_TYPES, Kind, listed, merged, packed_texts, repeated
 
 ANCHOR = 20
+PIECE = 64  # words of a source that are sent together
+SPANS = "array<struct<from:long,to:long>>"
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("kept", pa.binary())])
+CHECKED = pa.schema([("t", pa.int64()), ("spans", OUT.field("spans").type), ("failed", pa.list_(pa.int64()))])
 
 
-def drop_repeated_passages(docs: DataFrame, window: int = 50, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (words removed), kept (binary: what is left, joined by single spaces)."""
-    kind = Kind("words", window, anchor)
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The asked pieces of each text: src, piece, words."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for src, packed, asked in zip(*(batch.column(c) for c in ("t", "z", "asked")), strict=True):
+            words = unpack.decompress(packed.as_py()).split()
+            numbers = asked.values.to_numpy()
+            sent = [b" ".join(words[PIECE * i : PIECE * (i + 1)]) for i in numbers.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([src.as_py()] * len(sent), pa.int64()), pa.array(numbers), pa.array(sent, pa.binary())], names=["src", "piece", "words"])
+
+
+def _compared(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """t, spans: words of windows that are those of a smaller document, word by word; failed: minimisers of all windows in
+    stretches that aren't those of their source."""
+
+    def one(words: list[bytes], claims: list[dict]) -> tuple[list, list]:
+        lines = defaultdict(lambda: (defaultdict(bool), [], []))
+        for c in claims:
+            theirs = c["words"].split(b" ")
+            shift, base = c["shift"], PIECE * c["piece"]
+            drops, claimed, equal = lines[c["src"], shift]
+            drops[0] |= c["drop"]
+            for part in c["parts"]:
+                a, b = part["lo"], part["hi"]
+                claimed.append((a - shift, b - shift))
+                if words[a - shift : b - shift] == theirs[a - base : b - base]:
+                    equal.append((a - shift, b - shift))
+        spans, failed = [], []
+        for drops, claimed, equal in lines.values():
+            some = merged(np.array(equal, np.int64).reshape(-1, 2))
+            some = some[some[:, 1] - some[:, 0] >= kind.window]
+            every = merged(np.array(claimed, np.int64))
+            if drops[0]:
+                spans.append(some)
+            if not np.array_equal(some, every):
+                for a, b in every.tolist():
+                    with np.errstate(over="ignore"):
+                        failed.append(np.unique(paths(word_tokens(b" ".join(words[a:b])), kind.window, kind.anchor)[0] & kind.mask))
+        found = merged(np.concatenate(spans)) if spans else np.empty((0, 2), np.int64)
+        return [{"from": a, "to": b} for a, b in found.tolist()], np.unique(np.concatenate(failed)).tolist() if failed else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            rows = []
+            for t, packed, claims in zip(*(batch.column(c) for c in ("t", "z", "claims")), strict=True):
+                rows.append((t.as_py(), *one(unpack.decompress(packed.as_py()).split(), claims.as_py())))
+            if rows:
+                yield _rows(CHECKED, rows)
+
+    return run
+
+
+def _checked(texts: DataFrame, shared: DataFrame, kind: Kind) -> DataFrame:
+    """t, spans, failed of each row that has repeated windows and isn't itself their source."""
+    run = F.col("run")
+    runs = shared.select("d", "t", "start", F.explode("runs").alias("run"))
+    claims = runs.select("t", run["src"].alias("src"), (run["at"] - F.col("start") - run["from"]).alias("shift"), (run["d"] < F.col("d")).alias("drop"), run["at"].alias("a"), (run["at"] + run["to"] - run["from"] + (kind.window - 1)).alias("b"))
+    number = lambda c: F.floor(c / PIECE)
+    cut = claims.where("t != src or shift != 0").withColumn("piece", F.explode(F.sequence(number(F.col("a")), number(F.col("b") - 1))))
+    part = F.struct(F.greatest("a", F.col("piece") * PIECE).alias("lo"), F.least("b", (F.col("piece") + 1) * PIECE).alias("hi"))
+    asked = materialise(cut.groupBy("t", "src", "shift", "drop", "piece").agg(F.collect_set(part).alias("parts")))
+    wanted = asked.select("src", "piece").distinct().groupBy(F.col("src").alias("t")).agg(F.collect_list("piece").alias("asked"))
+    pieces = materialise(texts.join(wanted, "t").select("t", "z", "asked").mapInArrow(_pieces, "src long, piece long, words binary"))
+    with_words = asked.join(pieces, ["src", "piece"]).groupBy("t").agg(F.collect_list(F.struct("src", "shift", "drop", "piece", "parts", "words")).alias("claims"))
+    return materialise(texts.join(with_words, "t").select("t", "z", "claims").mapInArrow(_compared(kind), f"t long, spans {SPANS}, failed array<long>"))
+
+
+def _by_words(texts: DataFrame, least: DataFrame, kind: Kind) -> DataFrame:
+    """t, spans: windows of these minimisers that start in a smaller document too, compared as texts."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for d, t, packed, asked in zip(*(batch.column(c) for c in ("d", "t", "z", "asked")), strict=True):
+                words = unpack.decompress(packed.as_py()).split()
+                for one in asked.as_py():
+                    at = range(one["start"], one["start"] + (one["path"] >> 10 & FIELD))
+                    own = [b" ".join(words[i : i + kind.window]) for i in at]
+                    yield pa.RecordBatch.from_arrays([pa.array([d.as_py()] * len(at)), pa.array([t.as_py()] * len(at)), pa.array(list(at), pa.int64()), pa.array(own, pa.binary())], names=["d", "t", "at", "words"])
+
+    every = texts.select("d", "t", "z").mapInArrow(listed(kind), LISTED_TYPES).join(least, "least", "left_semi")
+    asked = every.groupBy("t").agg(F.collect_list(F.struct("path", "start")).alias("asked"))
+    own = materialise(texts.join(asked, "t").select("d", "t", "z", "asked").mapInArrow(windows, "d long, t long, at long, words binary"))
+    first = materialise(own.groupBy("words").agg(F.min("d").alias("first")))
+    cover = F.struct(F.col("at").alias("from"), (F.col("at") + kind.window).alias("to"))
+    return own.join(first, "words").where("first < d").groupBy("t").agg(F.collect_list(cover).alias("spans"))
+
+
+def repeated_spans(texts: DataFrame, kind: Kind) -> DataFrame:
+    """t, spans: words that windows of smaller documents cover. Spans may overlap."""
+    checked = _checked(texts, repeated(texts, kind), kind)
+    failed = materialise(checked.select(F.explode("failed").alias("least")).distinct())
+    sure = checked.select("t", "spans").where(F.size("spans") > 0)
+    if failed.isEmpty():
+        return sure
+    return sure.unionByName(_by_words(texts, failed, kind)).groupBy("t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def drop_repeated_passages(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, mask: int = -1) -> DataFrame:
+    """doc_id, n_words, n_removed, spans (words removed), kept (binary: what is left, joined by single spaces). mask: bits
+    of hashes that are used; with fewer the result is the same, and takes longer."""
+    kind = Kind("words", window, anchor, sources=True, mask=mask)
     texts = packed_texts(docs)
-    earlier = result_of(docs.sparkSession, lambda: spans(repeated(texts, kind), lambda r: r["d"] < F.col("d"), kind))
+    earlier = result_of(docs.sparkSession, lambda: repeated_spans(texts, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -50,5 +160,4 @@ def drop_repeated_passages(docs: DataFrame, window: int = 50, anchor: int = ANCH
                     rows.append((doc_id.as_py(), len(words), len(words) - len(kept), [{"from": a, "to": b} for a, b in gone.tolist()], b" ".join(kept)))
                 yield pa.RecordBatch.from_pylist([dict(zip(OUT.names, r, strict=True)) for r in rows], schema=OUT)
 
-    return texts.join(earlier, "t", "left").select("doc_id", "z", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept binary")
-
+    return texts.join(earlier, "t", "left").select("doc_id", "z", "spans").mapInArrow(run, f"doc_id long, n_words long, n_removed long, spans {SPANS}, kept binary")

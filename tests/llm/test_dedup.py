@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from dishflow.llm.components import connected_components
 from dishflow.llm.exact_dedup import exact_dedup, golomb_decode, golomb_encode
+from dishflow.llm.repeats import Kind, packed_texts, repeated
 from dishflow.llm.simhash_dedup import bucket_keys, links, near_duplicates
 from dishflow.llm.substring_dedup import drop_repeated_passages
 from dishflow.llm.suffix_dedup import drop_repeated_bytes
+from dishflow.llm.unitigs import heads
 from tests.llm.conftest import odd_rows
 
 BIG = 2**63 - 1
@@ -159,6 +162,34 @@ def test_repeated_passages(odd, k, anchor):
     assert sorted(str((a, b, c, bytes(e))) for a, b, c, e in got) == sorted(passages([r[:2] for r in odd_rows()], k))
 
 
+@pytest.mark.parametrize("mask", [0, 3 << 40, (1 << 22) - 1])
+def test_repeated_passages_when_hashes_collide(odd, mask):
+    """No bits, a few bits of each hash, and none of a path's: what differs from its source is compared as text."""
+    got = drop_repeated_passages(odd, 20, 8, mask).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted(str((a, b, c, bytes(e))) for a, b, c, e in got) == sorted(passages([r[:2] for r in odd_rows()], 20))
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_chains_are_compacted(spark, n):
+    """Chains of n paths, and a branch: pointers end at heads, distances add up."""
+    edges = [(100 * c + i + 1, 100 * c + i, i + 1) for c in range(3) for i in range(n)]
+    got = {(r.id, r.to, r.dist) for r in heads(spark.createDataFrame(edges, "id long, to long, dist long").repartition(3)).collect()}
+    assert got == {(100 * c + i, 100 * c, i * (i + 1) // 2) for c in range(3) for i in range(1, n + 1)}
+
+
+def test_long_repeats_become_one_run(spark):
+    """A passage of 600 words in three texts is one chain, and one run of 551 windows at its source, in each of them."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(600)]
+    rows = [(i, " ".join([word() for _ in range(30 * i)] + passage + [word() for _ in range(20)])) for i in range(3)]
+    shared = repeated(packed_texts(spark.createDataFrame(rows, "doc_id long, text string")), Kind("words", 50, 20, sources=True)).collect()
+    runs = [(r.d, r.start + x["from"], r.start + x["to"], x["d"], x["at"]) for r in shared for x in r.runs]
+    assert sorted({r[0] for r in runs}) == [0, 1, 2] and len(runs) <= 9  # the ends share minimisers with what is around them
+    assert sorted((d, sum(b - a for e, a, b, *_ in runs if e == d)) for d in range(3)) == [(d, 551) for d in range(3)]
+    assert all(source == 0 and at == a - 30 * d for d, a, b, source, at in runs) and max(b - a for _, a, b, *_ in runs) > 450
+
+
 @pytest.mark.parametrize(("k", "anchor"), [(40, 20), (12, 5)])
 def test_repeated_bytes(odd, k, anchor):
     got = drop_repeated_bytes(odd, k, anchor).select("doc_id", "n_bytes", "n_removed", F.size("spans"), "kept").collect()
