@@ -53,38 +53,47 @@ def _compared(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     """t, spans: words of windows that are those of a smaller document, word by word; failed: minimisers of all windows in
     stretches that aren't those of their source."""
 
-    def one(words: list[bytes], claims: list[dict]) -> tuple[list, list]:
-        lines = defaultdict(lambda: (defaultdict(bool), [], []))
-        for c in claims:
-            theirs = c["words"].split(b" ")
-            shift, base = c["shift"], PIECE * c["piece"]
-            drops, claimed, equal = lines[c["src"], shift]
-            drops[0] |= c["drop"]
-            for part in c["parts"]:
-                a, b = part["lo"], part["hi"]
-                claimed.append((a - shift, b - shift))
-                if words[a - shift : b - shift] == theirs[a - base : b - base]:
-                    equal.append((a - shift, b - shift))
-        spans, failed = [], []
-        for drops, claimed, equal in lines.values():
-            some = merged(np.array(equal, np.int64).reshape(-1, 2))
-            some = some[some[:, 1] - some[:, 0] >= kind.window]
-            every = merged(np.array(claimed, np.int64))
-            if drops[0]:
-                spans.append(some)
-            if not np.array_equal(some, every):
-                for a, b in every.tolist():
-                    with np.errstate(over="ignore"):
-                        failed.append(np.unique(paths(word_tokens(b" ".join(words[a:b])), kind.window, kind.anchor)[0] & kind.mask))
-        found = merged(np.concatenate(spans)) if spans else np.empty((0, 2), np.int64)
-        return [{"from": a, "to": b} for a, b in found.tolist()], np.unique(np.concatenate(failed)).tolist() if failed else []
+    def stretches(parts: list[tuple], bad: set) -> tuple[list[tuple], list[int]]:
+        """What holds of parts (line, drop, from, to, equal) where some line isn't equal throughout: spans, minimisers."""
+        lines = defaultdict(list)
+        for line, *part in parts:
+            lines[line].append(part)
+        spans, failed = [(a, b) for line, drop, a, b, _ in parts if drop and line not in bad], []
+        for line in bad:
+            equal = merged(np.array([(a, b) for _, a, b, same in lines[line] if same], np.int64).reshape(-1, 2))
+            if lines[line][0][0]:
+                spans += [(a, b) for a, b in equal.tolist() if b - a >= kind.window]
+            failed += merged(np.array([(a, b) for _, a, b, _ in lines[line]], np.int64)).tolist()
+        return spans, failed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for t, packed, claims in zip(*(batch.column(c) for c in ("t", "z", "claims")), strict=True):
-                rows.append((t.as_py(), *one(unpack.decompress(packed.as_py()).split(), claims.as_py())))
+            column = batch.column("claims")
+            ends, flat = column.offsets.to_pylist(), column.values
+            src, shift, drop, piece, sent = (flat.field(c).to_pylist() for c in ("src", "shift", "drop", "piece", "words"))
+            parts = flat.field("parts")
+            part_ends = parts.offsets.to_pylist()
+            lo, hi = (parts.values.field(i).to_pylist() for i in (0, 1))
+            for no, (t, packed) in enumerate(zip(batch.column("t").to_pylist(), batch.column("z"), strict=True)):
+                words = unpack.decompress(packed.as_py()).split()
+                found, bad = [], set()
+                for i in range(ends[no], ends[no + 1]):
+                    theirs, away, base, line = sent[i].split(b" "), shift[i], PIECE * piece[i], (src[i], shift[i])
+                    for j in range(part_ends[i], part_ends[i + 1]):
+                        a, b = lo[j], hi[j]
+                        same = words[a - away : b - away] == theirs[a - base : b - base]
+                        found.append((line, drop[i], a - away, b - away, same))
+                        if not same:
+                            bad.add(line)
+                spans, failed = stretches(found, bad) if bad else ([(a, b) for _, drops, a, b, _ in found if drops], [])
+                least: set[int] = set()
+                for a, b in failed:
+                    with np.errstate(over="ignore"):
+                        least.update((paths(word_tokens(b" ".join(words[a:b])), kind.window, kind.anchor)[0] & kind.mask).tolist())
+                spans = merged(np.array(spans, np.int64).reshape(-1, 2)).tolist()
+                rows.append((t, [{"from": a, "to": b} for a, b in spans], sorted(least)))
             if rows:
                 yield _rows(CHECKED, rows)
 
