@@ -1,11 +1,13 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn becomes an example of its own: all turns before it are context, only its text is trainable. An
-example's text is a prefix of its conversation's formatted text, so the output keeps each formatted turn once, with its
-place, and an example is a span of trainable characters with everything before it as context; `expand` writes examples
-out in full. So the output grows with the conversations, not with the square of their lengths (README), and a
-conversation that holds a third of all rows streams through one sorted task without being gathered: its digests are
-hashes of one sequence. Output is written, and read back from what was written.
+Every assistant turn becomes an example of its own: all turns before it are context, written out again in each example,
+and only its text is trainable. So what is written grows with the square of a conversation's length (README has
+figures). Examples of a conversation follow each other in a file and Parquet keeps of each only what the one before
+doesn't begin with, so the disk doesn't grow that way; a long conversation is expanded by many tasks, a block of
+examples in each. Turns after the last assistant turn, context of none, are kept as they are.
+
+Results are read back from the written examples: each gives the turns that the one before doesn't have, its loss span
+and the hash of its whole text, which has to be that of all turns up to its own.
 
 Template: STX role LF text ETX. In texts and roles SO stands for an escape: STX, ETX and SO inside, and LF in roles,
 become SO + one letter, so a turn can't be forged by what it says.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dishflow.llm.common import materialise, shuffle_partitions
+from dishflow.llm.common import materialise, row_reader, shuffle_partitions
 
 STX, ETX, ESC = "\x02", "\x03", "\x0e"
 _OUT = {STX: ESC + "b", ETX: ESC + "e", ESC: ESC + "n", "\n": ESC + "l"}
@@ -52,13 +54,27 @@ def read_turn(piece: str) -> tuple[str, str]:
     return unescape(head), unescape(text)
 
 
-PIECES = "conv_id long, turn_no long, piece string, char_start long, char_end long, example long, loss_start long, loss_end long"
+PIECES = "conv_id long, turn_no long, piece string, char_start long, char_end long, example long, loss_start long, loss_end long, since long"
+EXAMPLES = "conv_id long, example long, formatted string, loss_start long, loss_end long"
+READ = "conv_id long, turn_no long, piece string, char_start long, char_end long, loss_start long, loss_end long, whole string"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+BLOCK = 64  # examples of a conversation that one task writes
+CHARS = 4_000_000  # of a batch of examples; a longer one is a batch of its own
+#: Parquet's incremental encoding: of a text, what the one before it doesn't begin with.
+FRONT_CODED = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    types = [pa.string() if x == "string" else pa.int64() for x in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """A row for each turn, conversations together and turns in order: conv_id, turn_no (from 0), piece, its place
     char_start..char_end in the conversation's formatted text, and for assistant turns the number of their example and
-    the span loss_start..loss_end that it trains; all before loss_start is its context."""
+    the span loss_start..loss_end that it trains; all before loss_start is its context. since: the first example that has
+    the turn (as many as there are, if none has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: object = run
@@ -70,72 +86,128 @@ def format_conversations(turns: DataFrame) -> DataFrame:
                     key, no, at, example = conv_id, 0, 0, 0
                 piece, head = format_turn(role, text)
                 trained = role == "assistant"
-                rows.append((conv_id, no, piece, at, at + len(piece), example if trained else None, at + head if trained else None, at + len(piece) - 1 if trained else None))
+                rows.append((conv_id, no, piece, at, at + len(piece), example if trained else None, at + head if trained else None, at + len(piece) - 1 if trained else None, example))
                 no, at, example = no + 1, at + len(piece), example + trained
             if rows:
-                names = [x.split()[0] for x in PIECES.split(", ")]
-                kinds = [pa.string() if x.endswith("string") else pa.int64() for x in PIECES.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield batch_of(rows, PIECES)
 
     own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")))
     dealt = own.repartition(shuffle_partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(run, PIECES)
 
 
+def counted(pieces: DataFrame) -> DataFrame:
+    """Pieces with the number of examples of their conversation."""
+    of = pieces.groupBy(F.col("conv_id").alias("c")).agg(F.count("example").alias("examples"))
+    return pieces.join(of, F.col("c").eqNullSafe(F.col("conv_id"))).drop("c")
+
+
 def expand(pieces: DataFrame) -> DataFrame:
-    """conv_id, example, formatted, loss_start, loss_end: examples in full, context repeated in each. Its size is that
-    of all prefixes; the grouping holds one example at a time."""
-    targets = pieces.where("example is not null").select(F.col("conv_id").alias("c"), F.col("turn_no").alias("last"), "example", "loss_start", "loss_end")
-    context = pieces.select("conv_id", "turn_no", "piece")
-    both = targets.join(context, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("turn_no") <= F.col("last")))
-    grouped = both.groupBy("c", "example", "loss_start", "loss_end").agg(F.sort_array(F.collect_list(F.struct("turn_no", "piece"))).alias("turns"))
-    return grouped.select(F.col("c").alias("conv_id"), "example", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), "loss_start", "loss_end")
+    """conv_id, example, formatted, loss_start, loss_end: examples in full, context repeated in each, those of a block in
+    order. A piece goes to all blocks from its first example's on; a task holds one example and a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: object = run
+        text, rows, chars = "", [], 0
+        for batch in batches:
+            cols = [batch.column(x).to_pylist() for x in ("conv_id", "block", "piece", "example", "loss_start", "loss_end")]
+            for conv_id, block, piece, example, loss_start, loss_end in zip(*cols, strict=True):
+                if (conv_id, block) != key:
+                    key, text = (conv_id, block), ""
+                text += piece
+                if example is None or example // BLOCK != block:
+                    continue
+                if rows and chars + len(text) > CHARS:
+                    yield batch_of(rows, EXAMPLES)
+                    rows, chars = [], 0
+                rows.append((conv_id, example, text, loss_start, loss_end))
+                chars += len(text)
+        if rows:
+            yield batch_of(rows, EXAMPLES)
+
+    number = lambda c: F.floor(c / BLOCK)
+    within = counted(pieces).where("since < examples")
+    placed = within.select("conv_id", F.explode(F.sequence(number(F.col("since")), number(F.col("examples") - 1))).alias("block"), "turn_no", "piece", "example", "loss_start", "loss_end")
+    dealt = placed.repartition(shuffle_partitions(pieces.sparkSession), "conv_id", "block").sortWithinPartitions("conv_id", "block", "turn_no")
+    return dealt.mapInArrow(run, EXAMPLES)
+
+
+def own_turns(formatted: str, loss_start: int) -> tuple[int, int]:
+    """Where the turns begin that the example before doesn't have, and the number of the first of them."""
+    head = f"{STX}assistant\n"
+    if not formatted.startswith(head, loss_start - len(head)) or not formatted.endswith(ETX):
+        raise ValueError("an example doesn't end with the turn that it trains")
+    at = formatted.rfind(head, 0, loss_start - len(head))
+    begin = 0 if at < 0 else formatted.index(ETX, at) + 1
+    return begin, formatted.count(STX, 0, begin)
+
+
+def read_examples(examples: DataFrame) -> DataFrame:
+    """The turns that each written example adds, as pieces; its last one has the loss span and the hash of the whole."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for conv_id, text, loss_start, loss_end in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
+                at, no = own_turns(text, loss_start)
+                for piece in text[at:].split(ETX)[:-1]:
+                    end = at + len(piece) + 1
+                    last = end == len(text)
+                    rows.append((conv_id, no, piece + ETX, at, end, *((loss_start, loss_end, hashlib.sha256(text.encode()).hexdigest()) if last else (None, None, None))))
+                    at, no = end, no + 1
+            if rows:
+                yield batch_of(rows, READ)
 
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+    return examples.mapInArrow(run, READ)
 
 
 def digests(pieces: DataFrame) -> DataFrame:
-    """Reads written pieces back: one row for each conversation."""
+    """One row for each conversation, from its pieces. Where they have whole, the hash of an example, all pieces up to
+    there must be that example."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: object = run
         state: list = []
-        names = [x.split()[0] for x in DIGESTS.split(", ")]
-        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in DIGESTS.split(", ")]
-
-        def batch_of(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         def row() -> tuple:
-            n, turns, chars, loss, end, examples = state
+            n, turns, chars, loss, end, examples, _ = state
             return (key, n, turns.hexdigest(), chars, loss.hexdigest(), end, examples)
 
         for batch in batches:
             rows = []
-            cols = [batch.column(x).to_pylist() for x in ("conv_id", "piece", "char_start", "char_end", "loss_start", "loss_end")]
-            for conv_id, piece, start, end, loss_start, loss_end in zip(*cols, strict=True):
+            cols = [batch.column(x).to_pylist() for x in ("conv_id", "piece", "char_start", "char_end", "loss_start", "loss_end", "whole")]
+            for conv_id, piece, start, end, loss_start, loss_end, whole in zip(*cols, strict=True):
                 if conv_id != key:
                     if key is not run:
                         rows.append(row())
-                    key, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                    key, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, hashlib.sha256()]
                 role, text = read_turn(piece)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[4] = end
+                state[6].update(piece.encode())
                 if loss_start is not None:
                     trained = unescape(piece[loss_start - start : loss_end - start])
                     state[2] += len(trained)
                     state[3].update(trained.encode())
                     state[5] += 1
+                if whole is not None and whole != state[6].hexdigest():
+                    raise ValueError(f"an example of conversation {conv_id} isn't its turns up to {state[0]}")
             if rows:
-                yield batch_of(rows)
+                yield batch_of(rows, DIGESTS)
         if key is not run:
-            yield batch_of([row()])
+            yield batch_of([row()], DIGESTS)
 
-    dealt = pieces.repartition(shuffle_partitions(pieces.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn_no")
+    own = pieces if "whole" in pieces.columns else pieces.withColumn("whole", F.lit(None).cast("string"))
+    dealt = own.repartition(shuffle_partitions(pieces.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn_no")
     return dealt.mapInArrow(run, DIGESTS)
 
 
 def format_and_read_back(turns: DataFrame) -> DataFrame:
-    return digests(materialise(format_conversations(turns)))
+    """Digests of what the written examples say, and the turns after them."""
+    pieces = materialise(format_conversations(turns))
+    examples = materialise(expand(pieces), FRONT_CODED)
+    with row_reader(turns.sparkSession):
+        read = materialise(read_examples(examples))
+    rest = counted(pieces).where("since = examples").withColumn("whole", F.lit(None).cast("string"))
+    return digests(read.unionByName(rest.select(read.columns)))
