@@ -41,7 +41,7 @@ SMALL = 8  # buckets up to this size are compared vectorised over all of them
 PAIRS = 1 << 18  # comparisons that are held at once
 SIGN, SIGNED = 512, 1 << 16  # parity bits of a node, kept in large buckets; comparisons of them that are held at once
 CHUNK = 4096  # nodes of a shingle, or of a part of it, that a task compares
-HEAD = ["token", "node", "size", "place", "bits", "parts"]
+HEAD = ["token", "node", "place", "parts"]  # what a node has once is joined to those that share a bucket
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -79,7 +79,8 @@ def _sampled(words: int):
 
 
 def _marked(words: int, often: np.ndarray, rank: np.ndarray):
-    """node, size, sign (bit i: whether the number of shingles that end in i is odd), head (its shingles, in order)."""
+    """node, size, sign (bit i: whether the number of shingles that end in i is odd), bits (the sign, folded to 64 bits), head
+    (its shingles, in order)."""
     num, den = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,28 +99,30 @@ def _marked(words: int, often: np.ndarray, rank: np.ndarray):
                     sizes.append(n)
                     signs.append(np.packbits((np.bincount(own & (SIGN - 1), minlength=SIGN) & 1).astype(np.uint8), bitorder="little").tobytes())
                     heads.append(own[order[: n - (num * n + den - 1) // den + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(heads, pa.binary())], names=["node", "size", "sign", "head"])
+                bits = np.bitwise_xor.reduce(_words(signs).view(np.int64), axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(bits), pa.array(heads, pa.binary())], names=["node", "size", "sign", "bits", "head"]
+                )
 
     return run
 
 
 def _heads(hot: np.ndarray, parts: np.ndarray):
-    """Head shingles: token, node, size, place, bits (the sign, folded to 64 bits), parts of the token's bucket."""
+    """Head shingles: token, node, place, parts of the token's bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                node, size, sign, head = batch.slice(i, 500).columns
+                node, head = batch.slice(i, 500).columns
                 own = [np.frombuffer(x.as_py(), np.int64) for x in head]
                 k = np.array([len(x) for x in own])
-                bits = np.bitwise_xor.reduce(_words(sign.to_pylist()).view(np.int64), axis=1)
                 place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 token = np.concatenate(own)
                 of = np.ones(len(token), np.int32)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
                     of = np.where(hot[at] == token, parts[at], 1).astype(np.int32)
-                cols = (token, np.repeat(node.to_numpy(), k), np.repeat(size.to_numpy(), k), place.astype(np.int32), np.repeat(bits, k), of)
+                cols = (token, np.repeat(node.to_numpy(), k), place.astype(np.int32), of)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=HEAD)
 
     return run
@@ -173,12 +176,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             large, held, ends = int(cols[0][-1]), None, len(size)
         else:
             held, ends = [c[last:] for c in cols], last
-        parted = cols[5][:ends] > 1
+        parted = cols[3][:ends] > 1
         keep = (size[:ends] > 1) | parted
         if keep.any():
             yield batch_of([c[:ends] for c in cols], keep, (size[:ends] > SMALL) | parted)
     if held is not None:
-        parted = held[5] > 1
+        parted = held[3] > 1
         keep = (np.full(len(parted), len(parted)) > 1) | parted
         if keep.any():
             yield batch_of(held, keep, parted)
@@ -329,10 +332,10 @@ def near_copies(rows: DataFrame, words: int = 5, chunk: int = CHUNK) -> DataFram
     token, count = (seen.column(c).to_numpy() for c in ("token", "count"))
     order = np.argsort(token)
     token, count = token[order], count[order]
-    marked = materialise(own.mapInArrow(_marked(words, token, count), "node long, size int, sign binary, head binary"))
+    marked = materialise(own.mapInArrow(_marked(words, token, count), "node long, size int, sign binary, bits long, head binary"))
     hot = count * SAMPLE > chunk
-    kinds = "token long, node long, size int, place int, bits long, parts int"
-    heads = marked.select("node", "size", "sign", "head").mapInArrow(_heads(token[hot], -(-count[hot] * SAMPLE // chunk)), kinds)
+    kinds = "token long, node long, place int, parts int"
+    heads = marked.select("node", "head").mapInArrow(_heads(token[hot], -(-count[hot] * SAMPLE // chunk)), kinds)
     dealt = heads.repartition(n, "token", F.pmod(F.xxhash64("node"), F.col("parts"))).sortWithinPartitions("token")
     shared = materialise(dealt.mapInArrow(_shared, f"{kinds}, crowded boolean"))
 
@@ -343,8 +346,9 @@ def near_copies(rows: DataFrame, words: int = 5, chunk: int = CHUNK) -> DataFram
         return materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(_similar, "a long, b long"))
 
     def compared(members: DataFrame, found: DataFrame, star: int | None) -> DataFrame:
-        roots = marked.select("node", "sign").join(connected_components(found), "node", "left").select("node", "sign", F.coalesce("root", "node").alias("root"))
-        rooted = members.join(roots, "node").select(*HEAD, "root", F.when(F.col("crowded"), F.col("sign")).alias("sign"))
+        once = ["node", "size", "bits", "sign"]
+        roots = marked.select(once).join(connected_components(found), "node", "left").select(*once, F.coalesce("root", "node").alias("root"))
+        rooted = members.join(roots, "node").select(*HEAD, "size", "bits", "root", F.when(F.col("crowded"), F.col("sign")).alias("sign"))
         if star is None:
             cells = _cells(rooted, chunk)
         else:

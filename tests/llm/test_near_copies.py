@@ -107,3 +107,16 @@ def test_one_row_of_a_group_without_ids_stays(spark):
     texts = [r.text for r in kept]
     assert sorted((r.doc_id or -1, r.text) for r in kept if r.text not in (one, one + " end", one.upper())) == [(-1, "lone too"), (4, "alone"), (4, two)]
     assert len(texts) == 4
+
+
+def test_head_rows_are_narrow(spark, monkeypatch):
+    """Of the rows that are shuffled for each head shingle most leave: none carries what its node has once."""
+    texts = edited(random.Random(4))
+    made = []
+    write = near_copies.materialise
+    monkeypatch.setattr(near_copies, "materialise", lambda df: made.append(write(df)) or made[-1])
+    label = groups(texts)
+    found = near_copies.near_copies(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string").repartition(3))
+    assert found.count() == sum(label.count(v) > 1 for v in label)
+    (shared,) = [x for x in made if "crowded" in x.columns]
+    assert shared.count() and sorted(shared.columns) == ["crowded", "node", "parts", "place", "token"]
