@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from ast import literal_eval
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -15,6 +16,7 @@ from dishflow.llm.simhash_dedup import bucket_keys, links, near_duplicates
 from dishflow.llm.substring_dedup import drop_repeated_passages
 from dishflow.llm.suffix_dedup import drop_repeated_bytes
 from dishflow.llm.unitigs import heads
+from tests.conftest import same_rows
 from tests.llm.conftest import odd_rows
 
 BIG = 2**63 - 1
@@ -215,6 +217,33 @@ def test_op8_as_registered(spark, sf):
     assert got == want and sum(x[2] > 0 for x in want) > 3
 
 
+def borders() -> list[tuple]:
+    """Texts at the borders of 400 bytes: n_bytes is their size whatever is removed, and each place of a repeat goes."""
+    rng = random.Random(11)
+    a, b, c, d, e = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (399, 400, 401, 1200, 700))
+    texts = [a, a, b, "x" + b + "y", c + "1", "2" + c, d, d[:400] + "#" + d[400:800], d[800:] + "\x00" + d[800:], e + "é" * 250 + e, "é" * 199 + "z", "日" * 140, None, "", "q" * 400, "r" * 401]
+    return [(i, x) for i, x in enumerate(texts)] + [(None, c), (None, c), (None, None), (3, b), (3, "other " + a)]
+
+
+def test_op8_equals_sql(spark, duck, sf):
+    from dishflow.llm.queries import SQL, op8_suffix_dedup
+
+    same_rows(op8_suffix_dedup(spark, sf), duck.sql(SQL["op8_suffix_dedup"]))
+
+
+def test_op8_and_its_sql_at_borders(spark, duck, tmp_path):
+    """The query, its SQL and a count of all strings agree."""
+    from dishflow.llm.queries import SQL, op8_suffix_dedup
+
+    spark.createDataFrame(borders(), "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    duck.sql(f"CREATE OR REPLACE VIEW borders AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    own = duck.sql(SQL["op8_suffix_dedup"].replace("FROM documents", "FROM borders"))
+    got = op8_suffix_dedup(spark, f"file://{tmp_path}").select(*own.columns).collect()
+    want = [(i, n, gone, spans, hashlib.sha256(kept).hexdigest()) for i, n, gone, spans, kept in map(literal_eval, strings(borders(), 400))]
+    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, own.fetchall())) == sorted(map(str, want))
+    assert {(i, n) for i, n, *_ in want} == {(i, len((t or "").encode())) for i, t in borders()}
+
+
 @pytest.mark.parametrize("copies", [1, 3, 4096])
 def test_equal_rows_of_one_id_are_listed_in_steps(spark, monkeypatch, copies):
     from dishflow.llm import exact_dedup as module
